@@ -1,0 +1 @@
+"""Deliberately empty: every operator of this engine is a batch operator."""
