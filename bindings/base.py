@@ -178,13 +178,12 @@ def q_sentences(x: str) -> str:
     return f"list_filter(list_transform(string_split({q_collapse(x)}, '.'), lambda s: trim(s)), lambda s: s <> '')"
 
 
-def q_ordered_distinct(l: str) -> str:
-    return f"list_filter({l}, lambda v, i: list_position({l}, v) = i)"
-
-
-def q_dedupe(x: str) -> str:
-    """Sentences once each, in order of first appearance."""
-    return f"array_to_string({q_ordered_distinct(q_sentences(x))}, '. ')"
+def q_dedupe(table: str, key: str) -> str:
+    """Query giving (key, text) with sentences once each, in order of first appearance."""
+    sentences = f"SELECT {key}, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM (SELECT {key}, {q_sentences('text')} AS s FROM {table})"
+    first = f"SELECT {key}, v, min(i) AS i FROM ({sentences}) GROUP BY ALL"
+    joined = f"SELECT {key}, string_agg(v, '. ' ORDER BY i) AS text FROM ({first}) GROUP BY ALL"
+    return f"SELECT {key}, coalesce(j.text, '') AS text FROM {table} LEFT JOIN ({joined}) j USING ({key})"
 
 
 def q_tokens(x: str) -> str:
@@ -312,5 +311,5 @@ def q_dense(points: str, queries: str, section_equal: bool, k: int, cutoff: str
       WHERE {cutoff} QUALIFY rank <= {k})"""
 
 
-Q_CENTROIDS = """cells AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS at FROM embeddings),
-    centroids AS (SELECT label AS query_id, list(m ORDER BY at) AS v FROM (SELECT label, at, avg(x) AS m FROM cells GROUP BY ALL) GROUP BY label)"""
+Q_CENTROIDS = """cells AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    centroids AS (SELECT label AS query_id, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS m FROM cells GROUP BY ALL) GROUP BY label)"""

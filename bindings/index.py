@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 from bindings.base import (
     Q_BATCH_ROWS, Q_CENTROIDS, Q_ITEMS, Q_PASSAGES, Q_POINTS, Q_PROPOSALS, Q_SECTION_ROWS, Q_WHOLE, Q_WHOLE_POINTS,
     centroids, documents, items, passages, proposals, q_bags, q_dense, q_hits, q_ngrams, q_jaccard, q_strip, q_terms,
-    q_tfidf, q_tokens, query, section_index, section_points, section_rows, text_index, vectors, whole_points, whole_rows,
+    q_tfidf, q_tokens, query, quoted, section_index, section_points, section_rows, text_index, vectors, whole_points, whole_rows,
 )
 from kembar import runtime
 from kembar.functions import scores as s
@@ -123,7 +123,7 @@ def join_matched_text(spark, sf):
 
 
 def q_pair_scores(hits: str, queries: str, texts: str) -> str:
-    """CTE full: exact, semantic and final score of every hit; the fuzzy weight is 0."""
+    """CTE scored: exact, semantic and final score of every hit; the fuzzy weight is 0."""
     return f"""pr AS MATERIALIZED (SELECT row_number() OVER () AS pid, h.*, q.text AS a, coalesce(m.text, '') AS b FROM {hits} h
       JOIN {queries} q USING (query_id, section) LEFT JOIN {texts} m USING (section, doc_id)),
     gr AS (SELECT pid, {q_ngrams('x')} AS ga, {q_ngrams('y')} AS gb
@@ -131,7 +131,7 @@ def q_pair_scores(hits: str, queries: str, texts: str) -> str:
     {q_bags('ba', 'pr', 'pid', 'a')}, {q_bags('bb', 'pr', 'pid', 'b')},
     cs AS (SELECT pid, sum(ba.c * bb.c) AS dot FROM ba JOIN bb USING (pid, b) GROUP BY pid),
     na AS (SELECT pid, sqrt(sum(c * c)) AS n FROM ba GROUP BY pid), nb AS (SELECT pid, sqrt(sum(c * c)) AS n FROM bb GROUP BY pid),
-    full AS (SELECT pr.*, {q_jaccard('ga', 'gb')} AS exact, coalesce(dot / (na.n * nb.n), 0.0) AS semantic,
+    scored AS (SELECT pr.*, {q_jaccard('ga', 'gb')} AS exact, coalesce(dot / (na.n * nb.n), 0.0) AS semantic,
         least(CASE WHEN length(a) < 100 OR length(b) < 100 THEN 0.4 * exact + 0.6 * semantic
           ELSE 0.5 * exact + 0.5 * semantic END + CASE WHEN semantic > 0.9 THEN 0.05 ELSE 0 END, 1.0)::double AS final
       FROM pr JOIN gr USING (pid) LEFT JOIN cs USING (pid) LEFT JOIN na USING (pid) LEFT JOIN nb USING (pid))"""
@@ -140,7 +140,7 @@ def q_pair_scores(hits: str, queries: str, texts: str) -> str:
 @query("search_tfidf", f"""WITH {SEARCH}, {q_hits(10)}, {q_pair_scores('hits', 'passages', 'corpus')}
     SELECT query_id, section, rank, doc_id, skema, similarity_score, round(exact, 6) AS exact_score,
       round(semantic, 6) AS semantic_score, round(final, 6) AS final_score,
-      CASE WHEN length(b) > 500 THEN substr(b, 1, 500) || '...' ELSE b END AS matched_text FROM full""")
+      CASE WHEN length(b) > 500 THEN substr(b, 1, 500) || '...' ELSE b END AS matched_text FROM scored""")
 def search_tfidf(spark, sf):
     found = search.search_tfidf(text_index(spark, sf), whole_rows(spark, sf), passages(spark, sf), fuzzy=False)
     return found.drop("fuzzy_score")
@@ -158,8 +158,8 @@ Q_BULK_TFIDF = f"{BULK}, {q_tfidf('section_rows', 'bq')}, {q_hits(1)}, {q_pair_s
 @query("search_bulk_tfidf", f"""WITH {Q_BULK_TFIDF}
     SELECT query_id AS query_index, section, doc_id, skema, similarity_score, round(exact, 6) AS exact_score,
       round(semantic, 6) AS semantic_score, round(final, 6) AS final_score,
-      row_number() OVER (PARTITION BY query_id ORDER BY round(final, 6) DESC, section_order, doc_id) AS rank
-    FROM full QUALIFY rank <= 1""")
+      row_number() OVER (PARTITION BY query_id ORDER BY round(final, 6) DESC, list_position([{quoted(rows.SECTIONS)}], section), doc_id) AS rank
+    FROM (SELECT * EXCLUDE rank FROM scored) QUALIFY rank <= 1""")
 def search_bulk_tfidf(spark, sf):
     found = search.search_bulk_tfidf(section_index(spark, sf), section_rows(spark, sf), items(spark, sf), fuzzy=False)
     return found.drop("fuzzy_score", "matched_text")
@@ -246,7 +246,7 @@ def q_bulk_dense(k, cutoff):
     return f"""{Q_BULK_DENSE}, {q_dense('points', 'bq', True, k, cutoff)},
     bulk AS (SELECT (query_id // 7)::bigint AS query_index, doc_id, skema, section, similarity_score, row_number() OVER (
         PARTITION BY query_id // 7 ORDER BY similarity_score DESC, section_order, doc_id) AS rank
-      FROM near QUALIFY rank <= {k})"""
+      FROM (SELECT * EXCLUDE rank FROM near) QUALIFY rank <= {k})"""
 
 
 @query("search_bulk_dense", f"WITH {q_bulk_dense(5, 'score > -2')} FROM bulk")

@@ -326,7 +326,7 @@ def flat(verdicts):
     ).drop("lexical", "verdict")
 
 
-@query("detect_match", f"""WITH {Q_WHOLE_POINTS}, asked AS (SELECT item_id AS query_id, 'text' AS section, NULL::varchar AS skema, {q_dedupe('text')} AS text FROM benchmark),
+@query("detect_match", f"""WITH {Q_WHOLE_POINTS}, asked AS (SELECT item_id AS query_id, 'text' AS section, NULL::varchar AS skema, text FROM ({q_dedupe('benchmark', 'item_id')})),
     {q_dense('points', 'asked', True, 1)}, th AS (SELECT query_id, text AS q_text, {q_count('text')} AS words FROM asked),
     pr AS (SELECT n.query_id, n.doc_id, similarity_score, words, q_text AS a, p.text AS b FROM near n JOIN th USING (query_id) JOIN (SELECT doc_id, text FROM points) p USING (doc_id)),
     ws AS (SELECT *, {q_unstopped_set('a')} AS x, {q_unstopped_set('b')} AS y FROM pr)

@@ -25,7 +25,6 @@ def over_documents(name, sql, column):
 over_documents("clean_academic", q_academic("text"), t.clean_academic)
 over_documents("clean_keep_spacing", q_spacing("text"), t.clean_keep_spacing)
 over_documents("clean_lexical", q_lexical("text"), t.clean_lexical)
-over_documents("dedupe_sentences", q_dedupe("text"), t.dedupe_sentences)
 over_documents("remove_stopwords", f"array_to_string({q_unstopped(q_words('text'))}, ' ')", t.remove_stopwords)
 over_documents("stem_tokens", f"array_to_string(list_transform({q_words('text')}, lambda w: {q_stem('w')}), ' ')", t.stem_text)
 over_documents("tokenize_words", f"array_to_string({q_tokens('text')}, ' ')", lambda c: F.array_join(t.tokenize_words(c), " "))
@@ -36,6 +35,11 @@ over_documents(
 over_documents("word_count", q_count("text"), lambda c: t.word_count(c).cast("bigint"))
 
 
+@query("dedupe_sentences", q_dedupe("documents", "doc_id"))
+def dedupe_sentences(spark, sf):
+    return documents(spark, sf).select("doc_id", t.dedupe_sentences(F.col("text")).alias("text"))
+
+
 @query("text_fingerprint", f"""WITH {Q_SECTION_ROWS}
     SELECT doc_id, section, CASE WHEN coalesce(text, '') = '' THEN '' ELSE md5(text) END AS text_md5 FROM section_rows""")
 def text_fingerprint(spark, sf):
@@ -48,8 +52,10 @@ def word_ngrams(spark, sf):
     return g.ngram_rows(documents(spark, sf), ["doc_id"])
 
 
-@query("char_ngrams", f"""WITH flat AS (SELECT doc_id, {q_collapse("lower(text)")} AS s FROM documents)
-    SELECT doc_id, len(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) AS n_grams FROM flat""")
+@query("char_ngrams", f"""WITH flat AS (SELECT doc_id, {q_collapse("lower(text)")} AS s FROM documents),
+    grams AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g
+      FROM (SELECT doc_id, string_split(s, '') AS c FROM flat))
+    SELECT doc_id, count(DISTINCT g) AS n_grams FROM flat LEFT JOIN grams USING (doc_id) GROUP BY doc_id""")
 def char_ngrams(spark, sf):
     return documents(spark, sf).select("doc_id", F.size(t.char_ngrams(F.col("text"))).cast("bigint").alias("n_grams"))
 
