@@ -12,16 +12,27 @@ from pyspark.sql import types as T
 from kembar.functions import text as t
 
 
+def _set_score(a: Column, b: Column, score) -> Column:
+    """`score(size of a, size of b, shared)` of two distinct arrays, each built once; 0 if either is empty."""
+    def sizes(z):
+        return F.struct(F.size(z["a"]).alias("a"), F.size(z["b"]).alias("b"),
+                        F.size(F.array_intersect(z["a"], z["b"])).alias("both"))
+
+    counts = t.let(F.struct(a.alias("a"), b.alias("b")), sizes)
+    return t.let(
+        counts,
+        lambda n: F.when((n["a"] > 0) & (n["b"] > 0), score(n["a"], n["b"], n["both"])).otherwise(F.lit(0.0)),
+    )
+
+
 def set_jaccard(a: Column, b: Column) -> Column:
-    """Shared over joint elements of two distinct arrays; 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0))
+    """Shared over joint elements."""
+    return _set_score(a, b, lambda na, nb, both: both / (na + nb - both))
 
 
 def set_overlap(a: Column, b: Column) -> Column:
-    """Shared elements over the smaller of two distinct arrays; 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))
+    """Shared elements over the smaller set."""
+    return _set_score(a, b, lambda na, nb, both: both / F.least(na, nb))
 
 
 def ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
@@ -41,7 +52,9 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 
 def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with one bit of a whole number per sign of `a`."""
+    """Length of the longest common subsequence: a step per sign of the shorter text, a bit per sign of the longer."""
+    if len(a) < len(b):
+        a, b = b, a
     places: dict[str, int] = {}
     for i, sign in enumerate(a):
         places[sign] = places.get(sign, 0) | 1 << i

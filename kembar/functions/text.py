@@ -94,14 +94,19 @@ def tokenize_tfidf(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]{{2,}}"), 0)
 
 
-def ngrams_of(tokens: Column, n: int = 3) -> Column:
-    """Distinct runs of `n` tokens joined by blanks.
+def let(value: Column, body) -> Column:
+    """`body(value)`, where `value` is computed once per row however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The shifted copies are zipped first, so the lambda reads its own element only and the tokens are built once.
-    """
-    shifted = F.arrays_zip(*[F.slice(tokens, i + 1, F.size(tokens)).alias(f"w{i}") for i in range(n)])
-    whole = F.slice(shifted, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.array_distinct(F.transform(whole, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)])))
+
+def ngrams_of(tokens: Column, n: int = 3, separator: str = " ") -> Column:
+    """Distinct runs of `n` tokens. Shifted copies are zipped, so each run is read off one element."""
+    def runs(words):
+        shifted = F.arrays_zip(*[F.slice(words, i + 1, F.size(words)).alias(f"w{i}") for i in range(n)])
+        whole = F.slice(shifted, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return F.array_distinct(F.transform(whole, lambda z: F.concat_ws(separator, *[z[f"w{i}"] for i in range(n)])))
+
+    return let(tokens, runs)
 
 
 def word_ngrams(text: Column, n: int = 3) -> Column:
@@ -110,13 +115,7 @@ def word_ngrams(text: Column, n: int = 3) -> Column:
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct runs of `n` characters of the lower-cased text with single blanks."""
-    return ngrams_of_chars(F.split(collapse(F.lower(F.coalesce(text, F.lit("")))), ""), n)
-
-
-def ngrams_of_chars(chars: Column, n: int) -> Column:
-    shifted = F.arrays_zip(*[F.slice(chars, i + 1, F.size(chars)).alias(f"c{i}") for i in range(n)])
-    whole = F.slice(shifted, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
-    return F.array_distinct(F.transform(whole, lambda z: F.concat(*[z[f"c{i}"] for i in range(n)])))
+    return ngrams_of(F.split(collapse(F.lower(F.coalesce(text, F.lit("")))), ""), n, "")
 
 
 def text_fingerprint(text: Column) -> Column:

@@ -49,7 +49,7 @@ def _judge(points: DataFrame, queries: DataFrame, k: int, encoder, thresholds, a
     hits = nearest(points, encode(queries, "text", encoder), k, **sizes)
     hits = runtime.written(hits.withColumnRenamed("similarity_score", "semantic_similarity"), "detect-hits")
     hits = join_matched_text(hits, points).withColumnRenamed("skema", "result_skema").drop("section")
-    pairs = queries.join(hits, "query_id", "left")
+    pairs = runtime.spread_work(queries.join(hits, "query_id", "left"), "query_id", "doc_id")
     pairs = lexical_metrics(pairs.withColumn("matched_text", F.coalesce("matched_text", F.lit(""))), "text",
                             "matched_text", academic)
     semantic, jaccard = F.col("semantic_similarity"), F.col("lexical.jaccard")

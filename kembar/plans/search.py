@@ -63,6 +63,7 @@ def search_tfidf(
         runtime.broadcast_if_small(queries.select("query_id", "section", F.col("text").alias("query_text"))),
         ["query_id", "section"],
     )
+    full = runtime.spread_work(full, "query_id", "section", "doc_id")
     return score_pairs(full, encoder=encoder, fuzzy=fuzzy).select(
         "query_id", "section", "rank", "doc_id", "skema", "similarity_score", *FULL_SCORES,
         t.preview(F.col("matched_text")).alias("matched_text"),

@@ -50,6 +50,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+def spread_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal few but costly rows out to all tasks; adaptive execution would join such small partitions into one."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
 def _cell_bytes(field: T.StructField):
     name = F.col(field.name)
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
