@@ -279,7 +279,7 @@ def q_tfidf(corpus: str, queries: str | None = None) -> str:
 def q_hits(k: int, cutoff: float = 0.1) -> str:
     """CTE hits: the top k of sc per query and section."""
     return f"""hits AS MATERIALIZED (SELECT query_id, section, doc_id, skema, round(score, 6) AS similarity_score,
-        row_number() OVER (PARTITION BY query_id, section ORDER BY round(score, 6) DESC, doc_id) AS rank
+        (row_number() OVER (PARTITION BY query_id, section ORDER BY round(score, 6) DESC, doc_id))::int AS rank
       FROM sc WHERE score >= {cutoff} QUALIFY rank <= {k})"""
 
 
@@ -303,8 +303,8 @@ def q_dense(points: str, queries: str, section_equal: bool, k: int, cutoff: str
     dots AS (SELECT query_id, pid, sum(pb.c * qb.c) AS dot FROM pb JOIN qb USING (b) GROUP BY ALL),
     near AS MATERIALIZED (SELECT q.query_id, p.doc_id, p.skema, p.section, p.section_order,
         coalesce(dot / (pn.norm * qn2.norm), 0.0) AS score, round(score, 6) AS similarity_score,
-        row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(dot / (pn.norm * qn2.norm), 0.0), 6) DESC,
-          p.section_order, p.doc_id) AS rank
+        (row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(dot / (pn.norm * qn2.norm), 0.0), 6) DESC,
+          p.section_order, p.doc_id))::int AS rank
       FROM pt p JOIN {queries} q ON (q.skema IS NULL OR q.skema = p.skema) {on_section}
       LEFT JOIN dots ON dots.query_id = q.query_id AND dots.pid = p.pid
       LEFT JOIN pn ON pn.pid = p.pid LEFT JOIN qn2 ON qn2.query_id = q.query_id

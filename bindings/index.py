@@ -158,7 +158,7 @@ Q_BULK_TFIDF = f"{BULK}, {q_tfidf('section_rows', 'bq')}, {q_hits(1)}, {q_pair_s
 @query("search_bulk_tfidf", f"""WITH {Q_BULK_TFIDF}
     SELECT query_id AS query_index, section, doc_id, skema, similarity_score, round(exact, 6) AS exact_score,
       round(semantic, 6) AS semantic_score, round(final, 6) AS final_score,
-      row_number() OVER (PARTITION BY query_id ORDER BY round(final, 6) DESC, list_position([{quoted(rows.SECTIONS)}], section), doc_id) AS rank
+      (row_number() OVER (PARTITION BY query_id ORDER BY round(final, 6) DESC, list_position([{quoted(rows.SECTIONS)}], section), doc_id))::int AS rank
     FROM (SELECT * EXCLUDE rank FROM scored) QUALIFY rank <= 1""")
 def search_bulk_tfidf(spark, sf):
     found = search.search_bulk_tfidf(section_index(spark, sf), section_rows(spark, sf), items(spark, sf), fuzzy=False)
@@ -191,7 +191,7 @@ def join_dense_theta(spark, sf):
 
 Q_NEAR = """near AS (SELECT query_id::bigint AS query_id, vec_id AS doc_id, label::varchar AS skema,
       round(list_cosine_similarity(embedding::double[], v), 6) AS similarity_score,
-      row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, vec_id) AS rank
+      (row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, vec_id))::int AS rank
     FROM embeddings, centroids WHERE {where} QUALIFY rank <= {k})"""
 
 
@@ -244,8 +244,8 @@ Q_BULK_DENSE = f"""{Q_POINTS}, {Q_BATCH_ROWS},
 
 def q_bulk_dense(k, cutoff):
     return f"""{Q_BULK_DENSE}, {q_dense('points', 'bq', True, k, cutoff)},
-    bulk AS (SELECT (query_id // 7)::bigint AS query_index, doc_id, skema, section, similarity_score, row_number() OVER (
-        PARTITION BY query_id // 7 ORDER BY similarity_score DESC, section_order, doc_id) AS rank
+    bulk AS (SELECT (query_id // 7)::bigint AS query_index, doc_id, skema, section, similarity_score, (row_number() OVER (
+        PARTITION BY query_id // 7 ORDER BY similarity_score DESC, section_order, doc_id))::int AS rank
       FROM (SELECT * EXCLUDE rank FROM near) QUALIFY rank <= {k})"""
 
 

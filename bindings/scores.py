@@ -267,6 +267,11 @@ def agg_corpus_info(spark, sf):
     return summaries.agg_corpus_info(proposals(spark, sf)).withColumn("available_sections", F.array_join("available_sections", ","))
 
 
+@query("skema_names", "SELECT source AS skema, count(*) AS n_proposals FROM documents GROUP BY source")
+def skema_names(spark, sf):
+    return summaries.skema_names(proposals(spark, sf))
+
+
 @query("agg_skema_sections", f"""WITH {Q_POINTS}
     SELECT skema, count(DISTINCT section) AS n_sections, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections FROM points GROUP BY skema""")
 def agg_skema_sections(spark, sf):

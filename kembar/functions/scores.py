@@ -56,11 +56,16 @@ def final_score_adaptive(
     short = (F.length(a) < SHORT_CHARS) | (F.length(b) < SHORT_CHARS)
     base = F.when(short, _weighted(scores, short_weights)).otherwise(_weighted(scores, full_weights))
     bonus = F.when(semantic > SEMANTIC_BONUS_ABOVE, F.lit(SEMANTIC_BONUS)).otherwise(F.lit(0.0))
-    return F.least(base + bonus, F.lit(1.0))
+    return _at_most_one(base + bonus)
+
+
+def _at_most_one(score: Column) -> Column:
+    """A missing score stays missing, where `least` alone would make it 1."""
+    return F.when(score > 1.0, F.lit(1.0)).otherwise(score)
 
 
 def _clamp(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))
+    return F.when(score < 0.0, F.lit(0.0)).otherwise(_at_most_one(score))
 
 
 def composite_standard(semantic: Column, jaccard: Column, overlap: Column, sequence: Column) -> Column:

@@ -142,9 +142,10 @@ def score_points(
     points = points.withColumn("section_order", section_order(F.col("section"), sections)).select(
         "doc_id", F.col("skema").cast("string").alias("skema"), "section", "section_order", "embedding"
     ).where(F.col("embedding").isNotNull())
-    queries = queries.select("query_id", "section", F.col("skema").cast("string").alias("skema"), "embedding").where(
-        F.col("embedding").isNotNull()
-    )
+    queries = queries.select(
+        "query_id", F.nullif(F.col("section"), F.lit("")).alias("section"),
+        F.nullif(F.col("skema").cast("string"), F.lit("")).alias("skema"), "embedding",
+    ).where(F.col("embedding").isNotNull())
     carried = queries.limit(block + 1).toArrow()
     if len(carried) == 0:
         return points.sparkSession.createDataFrame([], _HITS)

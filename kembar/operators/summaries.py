@@ -19,6 +19,11 @@ def agg_corpus_info(proposals: DataFrame, sections=SECTIONS) -> DataFrame:
     )
 
 
+def skema_names(proposals: DataFrame) -> DataFrame:
+    """Every category once, with its number of proposals."""
+    return proposals.groupBy("skema").agg(F.count("*").alias("n_proposals"))
+
+
 def agg_point_stats(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("total_points"), F.max(F.size("embedding")).alias("vector_size")).withColumn(
         "distance_metric", F.lit("cosine")

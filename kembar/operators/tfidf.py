@@ -18,6 +18,7 @@ from kembar.operators.rows import top_k
 
 SHARD_ROWS = 200_000
 BROADCAST_TERMS = 500_000
+TASK_PRODUCTS = 20_000_000
 
 
 class TfidfIndex(NamedTuple):
@@ -113,6 +114,7 @@ def transform(
     index: TfidfIndex, queries: DataFrame, stop_words: bool = True, stem: bool = True
 ) -> DataFrame:
     """Unit-length query weights per (query_id, section); terms the corpus lacks vanish before normalising."""
+    queries = queries.withColumn("skema", F.nullif(F.col("skema"), F.lit("")))
     counts = term_counts(queries, ["query_id", "section", "skema"], stop_words, stem)
     counts = runtime.written(counts, "query-counts")
     weighted = index.idf.join(runtime.broadcast_if_small(counts), ["section", "term"])
@@ -126,13 +128,16 @@ def cosine(index: TfidfIndex, weights: DataFrame, limit: int = runtime.BROADCAST
     """Cosine of every query with every document of its section that shares a term (and the category, if asked).
 
     With a small query side, only postings of wanted terms move, once, to the task of their document; multiplying and
-    summing then happens inside that task. Otherwise both sides meet per shard of a posting list.
+    summing then happens inside that task, and the document frequencies tell how many tasks that work needs.
+    Otherwise both sides meet per shard of a posting list.
     """
     weights = runtime.written(weights.withColumnRenamed("skema", "wanted_skema"), "query-weights")
     on = ["section", "term"]
     if runtime.fits_broadcast(weights, limit):
+        products = weights.agg(F.sum("df")).first()[0] or 0
+        tasks = max(weights.sparkSession.sparkContext.defaultParallelism, products // TASK_PRODUCTS + 1)
         wanted = F.broadcast(weights.select(*on).distinct())
-        hits = index.postings.join(wanted, on, "left_semi").repartition("doc_id")
+        hits = index.postings.join(wanted, on, "left_semi").repartition(tasks, "doc_id")
         pairs = hits.join(F.broadcast(weights.drop("df")), on)
     else:
         shards = F.explode(F.sequence(F.lit(0), shard_count(F.col("df")) - 1))

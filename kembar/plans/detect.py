@@ -21,7 +21,8 @@ def join_skema_fallback(queries: DataFrame, points: DataFrame) -> DataFrame:
     """Drop the category of a query where that category has no points in the section, and say so."""
     known = points.select(F.col("skema").cast("string").alias("skema"), "section").distinct()
     known = runtime.broadcast_if_small(known.withColumn("__known", F.lit(True)))
-    joined = queries.withColumnRenamed("skema", "search_skema").join(
+    asked = queries.withColumn("search_skema", F.nullif(F.col("skema"), F.lit(""))).drop("skema")
+    joined = asked.join(
         known.withColumnRenamed("skema", "search_skema"), ["search_skema", "section"], "left"
     )
     return joined.withColumns({

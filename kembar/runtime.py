@@ -30,8 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId].name
 
 
+def session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/kembar-{spark.sparkContext.applicationId}"
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this session wrote to the shared folder; call it once no result depends on them."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
