@@ -125,13 +125,13 @@ def elements(spark, sf):
     return batch.select("query_index", element.alias("element"))
 
 
-@query("parse_query_batch", f"""WITH {Q_BATCH_ROWS}, good AS (SELECT * FROM items WHERE query_index % 4 < 2)
-    SELECT query_index, skema, {NAMES}, NULL::varchar AS error FROM good
-    UNION ALL
-    SELECT query_index, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN query_index % 4 = 2
-      THEN 'Invalid list format: ' || to_json([judul])::varchar
-      ELSE 'Expected dict but got str: "item ' || query_index || '"' END
-    FROM items WHERE query_index % 4 >= 2""")
+Q_ELEMENTS = ", ".join(f"CASE WHEN shape < 2 THEN {name} END AS {name}" for name in ("skema", *SECTIONS))
+
+
+@query("parse_query_batch", f"""WITH {Q_BATCH_ROWS}
+    SELECT query_index, {Q_ELEMENTS}, CASE shape WHEN 2 THEN 'Invalid list format: ' || to_json([judul])::varchar
+      WHEN 3 THEN 'Expected dict but got str: "item ' || query_index || '"' END AS error
+    FROM (SELECT *, query_index % 4 AS shape FROM items)""")
 def parse_query_batch(spark, sf):
     good, bad = batches.parse_query_batch(elements(spark, sf))
     return good.unionByName(bad, allowMissingColumns=True)

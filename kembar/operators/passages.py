@@ -44,6 +44,25 @@ def ngram_jaccard_join(queries: DataFrame, documents: DataFrame, n: int = 3) ->
     return pairs.select("query_id", "doc_id", F.round(score, 6).alias("exact_score"))
 
 
+def pair_ngram_jaccard(hits: DataFrame, queries: DataFrame, texts: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
+    """n-gram Jaccard of given (query_id, *keys) pairs; pairs without a shared n-gram are left out, their score is 0.
+
+    `texts` has one row per `keys` (doc_id among them). Each text's n-grams are made once, however many queries hit it,
+    and meet those of its own queries only: a join on document and n-gram, with one row per key on the text side.
+    """
+    own = [k for k in keys if k in queries.columns]
+    asked = ngram_rows(queries, ["query_id", *own], "text", n).withColumn(
+        "query_size", F.count("*").over(Window.partitionBy("query_id", *own))
+    )
+    wanted = runtime.written(hits.select("query_id", *keys).join(asked, ["query_id", *own]), "pair-ngrams")
+    grams = texts.select(*keys, t.word_ngrams(F.col("text"), n).alias("grams"))
+    rows = grams.select(*keys, F.size("grams").alias("doc_size"), F.explode_outer("grams").alias("ngram"))
+    shared = rows.join(runtime.broadcast_if_small(wanted), [*keys, "ngram"])
+    counted = shared.groupBy("query_id", *keys, "query_size", "doc_size").agg(F.count("*").alias("shared"))
+    score = F.col("shared") / (F.col("query_size") + F.col("doc_size") - F.col("shared"))
+    return counted.select("query_id", *keys, score.alias("exact_score"))
+
+
 def ngram_containment(queries: DataFrame, documents: DataFrame, n: int = 3) -> DataFrame:
     """Share of the query's n-grams that the document has."""
     pairs = shared_ngrams(queries, documents, n)

@@ -45,7 +45,7 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def smooth_idf(df_table: DataFrame, sizes: DataFrame) -> DataFrame:
     """ln((1 + n) / (1 + df)) + 1, where n counts blank texts too. `sizes` has one row per section."""
-    return df_table.join(F.broadcast(sizes), "section").select(
+    return df_table.join(runtime.broadcast_if_small(sizes), "section").select(
         "section", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
 
@@ -59,9 +59,9 @@ def with_idf(counts: DataFrame, idf: DataFrame, limit: int = BROADCAST_TERMS) ->
     on = ["section", "term"]
     terms, total = idf.agg(F.count("*"), F.sum("df")).first()
     if terms <= limit:
-        return counts.join(F.broadcast(idf), on)
+        return counts.join(runtime.broadcast_if_small(idf), on)
     floor = total / limit
-    known = counts.join(F.broadcast(idf.where(F.col("df") > floor)), on, "left")
+    known = counts.join(runtime.broadcast_if_small(idf.where(F.col("df") > floor)), on, "left")
     hot = known.where(F.col("idf").isNotNull())
     cold = known.where(F.col("idf").isNull()).drop("df", "idf").join(idf.where(F.col("df") <= floor), on)
     return hot.unionByName(cold)
@@ -83,7 +83,7 @@ def normalised(counted: DataFrame) -> DataFrame:
 def fit(sections: DataFrame, stop_words: bool = True, stem: bool = True) -> TfidfIndex:
     """Build the index of (doc_id, skema, section, text); its tables are written to the shared folder."""
     counts = runtime.written(term_counts(sections, ["section", "doc_id", "skema"], stop_words, stem), "term-counts")
-    sizes = sections.groupBy("section").agg(F.count("*").alias("n"))
+    sizes = runtime.written(sections.groupBy("section").agg(F.count("*").alias("n")), "section-sizes")
     idf = runtime.written(smooth_idf(document_frequency(counts), sizes), "idf")
     postings = runtime.written(normalised(with_idf(counts, idf)), "postings")
     return TfidfIndex(postings, idf)

@@ -12,41 +12,65 @@ from kembar.functions import text as t
 from kembar.functions.vectors import HashedEncoder, dense_cosine, encode
 from kembar.operators import tfidf
 from kembar.operators.dense import nearest
+from kembar.operators.passages import pair_ngram_jaccard
 from kembar.operators.rows import filter_query_text, rerank_bulk
 from kembar.operators.summaries import batch_rows
 from kembar.schema import SECTIONS, section_order
 
+KEYS = ["doc_id", "section"]
+HUB_HITS = 1000
 FULL_SCORES = ("exact_score", "fuzzy_score", "semantic_score", "final_score")
 
 
-def join_matched_text(hits: DataFrame, texts: DataFrame) -> DataFrame:
-    """Left lookup of the stored text of each hit; a missing one becomes ''.
+def matched_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of each hit document, once, and the number of copies that its hits are dealt out to.
 
     Only top-k survivors come here, so their keys go to the texts and not the other way round.
     """
-    keys = ["doc_id", "section"]
-    wanted = runtime.broadcast_if_small(hits.select(*keys).distinct())
-    found = texts.select(*keys, F.col("text").alias("matched_text")).join(wanted, keys, "left_semi")
-    return hits.join(found, keys, "left").withColumn("matched_text", F.coalesce("matched_text", F.lit("")))
+    sizes = hits.groupBy(*KEYS).agg(F.ceil(F.count("*") / F.lit(HUB_HITS)).cast("int").alias("copies"))
+    return texts.select(*KEYS, "text").join(runtime.broadcast_if_small(sizes), KEYS)
+
+
+def join_found(hits: DataFrame, found: DataFrame) -> DataFrame:
+    """Left join of hits to `found` (keys, copies, ...), in which a document that very many queries hit has no hot key."""
+    share = runtime.broadcast_if_small(found.select(*KEYS, "copies"))
+    dealt = hits.join(share, KEYS, "left").withColumn(
+        "__copy", F.pmod(F.xxhash64("query_id"), F.coalesce("copies", F.lit(1)))
+    ).drop("copies")
+    copied = found.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).drop("copies")
+    return dealt.join(runtime.broadcast_if_small(copied), [*KEYS, "__copy"], "left").drop("__copy")
+
+
+def join_matched_text(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Left lookup of the stored text of each hit; a missing one becomes ''."""
+    found = runtime.written(matched_texts(hits, texts), "matched-texts")
+    joined = join_found(hits, found.withColumnRenamed("text", "matched_text"))
+    return joined.withColumn("matched_text", F.coalesce("matched_text", F.lit("")))
 
 
 def join_metadata(scored: DataFrame, metadata: DataFrame) -> DataFrame:
     return scored.join(metadata, "doc_id")
 
 
-def score_pairs(pairs: DataFrame, query: str = "query_text", match: str = "matched_text", encoder=None,
-                fuzzy: bool = True) -> DataFrame:
-    """Add exact, fuzzy, semantic and final score to (query text, matched text) rows."""
-    a, b = F.col(query), F.col(match)
-    pairs = encode(encode(pairs, query, encoder, "__qv"), match, encoder, "__mv")
-    pairs = pairs.withColumns({
-        "exact_score": p.ngram_jaccard(a, b),
-        "fuzzy_score": p.fuzzy_ratio(a, b) if fuzzy else F.lit(0.0),
-        "semantic_score": dense_cosine(F.col("__qv"), F.col("__mv")),
-    })
+def score_hits(hits: DataFrame, queries: DataFrame, texts: DataFrame, encoder=None, fuzzy: bool = True) -> DataFrame:
+    """Add matched text, exact, fuzzy, semantic and final score to written hits (query_id, section, doc_id).
+
+    n-grams and vectors are made once per text and once per query; only the edit ratio works pair by pair.
+    """
+    found = runtime.written(runtime.spread_work(matched_texts(hits, texts), *KEYS), "matched-texts")
+    exact = pair_ngram_jaccard(hits, queries, found, KEYS)
+    asked = encode(queries.select("query_id", "section", F.col("text").alias("query_text")), "query_text", encoder, "__qv")
+    vectors = encode(found.withColumnRenamed("text", "matched_text"), "matched_text", encoder, "__mv")
+    pairs = join_found(hits, runtime.written(vectors, "matched-vectors"))
+    pairs = pairs.withColumn("matched_text", F.coalesce("matched_text", F.lit("")))
+    pairs = pairs.join(runtime.broadcast_if_small(runtime.written(asked, "query-vectors")), ["query_id", "section"])
+    pairs = pairs.withColumn("semantic_score", F.coalesce(dense_cosine(F.col("__qv"), F.col("__mv")), F.lit(0.0)))
+    pairs = runtime.spread_work(pairs.drop("__qv", "__mv"), "query_id", *KEYS)
+    a, b = F.col("query_text"), F.col("matched_text")
+    pairs = pairs.withColumn("fuzzy_score", p.fuzzy_ratio(a, b) if fuzzy else F.lit(0.0))
+    pairs = pairs.join(exact, ["query_id", *KEYS], "left").withColumn("exact_score", F.coalesce("exact_score", F.lit(0.0)))
     final = s.final_score_adaptive(F.col("exact_score"), F.col("fuzzy_score"), F.col("semantic_score"), a, b)
-    pairs = pairs.withColumn("final_score", final).drop("__qv", "__mv")
-    return pairs.withColumns({name: F.round(name, 6) for name in FULL_SCORES})
+    return pairs.withColumn("final_score", final).withColumns({name: F.round(name, 6) for name in FULL_SCORES})
 
 
 def search_tfidf(
@@ -59,12 +83,7 @@ def search_tfidf(
     """
     queries = queries.where(~t.is_blank(F.col("text")))
     hits = runtime.written(tfidf.search(index, queries, k, cutoff), "tfidf-hits")
-    full = join_matched_text(hits, texts).join(
-        runtime.broadcast_if_small(queries.select("query_id", "section", F.col("text").alias("query_text"))),
-        ["query_id", "section"],
-    )
-    full = runtime.spread_work(full, "query_id", "section", "doc_id")
-    return score_pairs(full, encoder=encoder, fuzzy=fuzzy).select(
+    return score_hits(hits, queries, texts, encoder, fuzzy).select(
         "query_id", "section", "rank", "doc_id", "skema", "similarity_score", *FULL_SCORES,
         t.preview(F.col("matched_text")).alias("matched_text"),
     )

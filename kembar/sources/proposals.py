@@ -50,7 +50,8 @@ def sections_from_lines(df: DataFrame, text_col: str, ids: list[str], sections=S
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Consecutive numbers from 0 in the given order, without passing all rows through one task.
 
-    Ranges are sorted and written with their place inside the range; the ranges' sizes give each one its offset.
+    Ranges are sorted and written with their place inside the range; the ranges' sizes give each one its offset. There
+    is one size per range, so their table is never longer than the number of shuffle partitions.
     """
     local = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     local = runtime.written(local, "numbered")
