@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kembar import runtime
+from kembar.functions.pairs import ngram_jaccard
 from kembar.operators import tfidf
+from kembar.operators.passages import pair_ngram_jaccard
 from kembar.plans import search
 
 WORDS = [f"kata{c}{d}" for c in "abcdefgh" for d in "xyz"]
@@ -141,3 +143,33 @@ def test_pair_cosine(spark):
     one = math.log(3 / 2) + 1
     assert got[1] == pytest.approx(1 / (math.sqrt(1 + 4 * one**2) * math.sqrt(1 + one**2)))
     assert got[2] == 0.0 and got[3] == pytest.approx(1.0) and got[4] == 0.0
+
+
+def test_scores_do_not_depend_on_how_hits_are_dealt_out(tables, monkeypatch):
+    """Every query hits the same documents; copies of them and broadcasts off give the same rows."""
+    docs, queries, index = tables
+    many = queries.where("query_id = 1").select(
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(40).cast("bigint"))).alias("query_id"), "section", "skema", "text"
+    )
+
+    def cells():
+        return sorted(tuple(r) for r in search.search_tfidf(index, docs, many, k=3).collect())
+
+    usual = cells()
+    assert len(usual) == 120
+    monkeypatch.setattr(search, "HUB_HITS", 7)
+    assert cells() == usual
+    monkeypatch.setattr(runtime, "broadcast_if_small", lambda df, limit=0: df)
+    assert cells() == usual
+
+
+def test_exact_score_of_hits_equals_the_pair_function(spark):
+    texts = [(1, "judul", "a b c d e a b c"), (2, "judul", "x y"), (3, "metode", "a b c e")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, section string, text string")
+    asked = spark.createDataFrame([(5, "judul", "a b c e"), (6, "metode", "b c e")], "query_id bigint, section string, text string")
+    hits = docs.select("doc_id", "section").join(asked.select("query_id", "section"), "section")
+    got = {(r.query_id, r.doc_id): r.exact_score for r in pair_ngram_jaccard(hits, asked, docs, ["doc_id", "section"]).collect()}
+    pairs = docs.join(asked.withColumnRenamed("text", "q"), "section")
+    plain = {(r.query_id, r.doc_id): r.s for r in pairs.select("query_id", "doc_id", ngram_jaccard(F.col("q"), F.col("text")).alias("s")).collect()}
+    assert got == {pair: score for pair, score in plain.items() if score > 0}
+    assert got == {(5, 1): pytest.approx(1 / 6), (6, 3): 0.5}
