@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kembar import runtime
-from kembar.llm import exact_dedup, mixing, secrets
+from kembar.llm import exact_dedup, mixing, packing, quality, secrets, toxicity, url_filter
 from kembar.llm.words import UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,34 @@ def op5(spark, sf):
     WINDOW w AS (PARTITION BY text_sha256)""")
 def op6(spark, sf):
     return exact_dedup.exact_groups(documents(spark, sf)).drop("uid")
+
+
+@query("op3_pack")
+def op3(spark, sf):
+    pieces = packing.token_pieces(documents(spark, sf))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests)
+
+
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@query("op4_toxicity")
+def op4(spark, sf):
+    docs = documents(spark, sf)
+    model = toxicity.fit_toxicity(docs, labels(spark, sf).select("doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, model, ["doc_id"])
+    score = F.col("toxic_score")
+    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_url_filter")
+def op8(spark, sf):
+    return url_filter.url_filter(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("op9_quality")
+def op9(spark, sf):
+    judged = quality.quality_rules(documents(spark, sf), labels(spark, sf).select("doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
