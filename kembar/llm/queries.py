@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kembar import runtime
-from kembar.llm import exact_dedup, mixing, packing, quality, secrets, toxicity, url_filter
+from kembar.llm import exact_dedup, jaccard_join, mixing, packing, quality, secrets, toxicity, url_filter
 from kembar.llm.words import UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def op4(spark, sf):
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op7_jaccard_join")
+def op7(spark, sf):
+    return jaccard_join.jaccard_classes(documents(spark, sf))
+
+
 @query("op8_url_filter")
 def op8(spark, sf):
     return url_filter.url_filter(spark.read.parquet(f"{sf}/pages.parquet"))
