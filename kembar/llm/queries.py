@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kembar import runtime
-from kembar.llm import exact_dedup, jaccard_join, mixing, packing, quality, secrets, toxicity, url_filter
+from kembar.llm import exact_dedup, jaccard_join, mixing, packing, quality, repeats, secrets, toxicity, url_filter
 from kembar.llm.words import UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op8(spark, sf):
 def op9(spark, sf):
     judged = quality.quality_rules(documents(spark, sf), labels(spark, sf).select("doc_id", "quality"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query("op10_repeats")
+def op10(spark, sf):
+    stripped = repeats.repeated_bytes(documents(spark, sf))
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
