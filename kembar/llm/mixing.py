@@ -129,3 +129,22 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     """`mix` over whole documents (doc_id, source, text), sources weighted in turn; null texts have size 0."""
     sized = runtime.written(sized_documents(docs), "sizes")
     return mix(sized, shared_targets(cycled_weights(source_totals(sized), weights), share, most), seed)
+
+
+def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
+    """Rows of `docs`, all columns, with `copies`: how often the mix takes each, whole; rows without words are never taken.
+
+    Rows are matched by id, source and size; rows that agree in all three are numbered on both sides in any order, as
+    each of them stands for the same number of words.
+    """
+    mixed = mix_documents(docs, weights, share, most, seed)
+    keys = ["__id", "__source", "__size", "__n"]
+    same = Window.partitionBy("__id", "__source", "__size").orderBy(F.lit(0))
+    found = mixed.select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+        F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int").alias("copies"),
+    ).withColumn("__n", F.row_number().over(same))
+    own = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__size": word_total(text_or_empty())})
+    own = own.withColumn("__n", F.row_number().over(same)).alias("own")
+    match = [F.col(f"own.{k}").eqNullSafe(F.col(f"found.{k}")) for k in keys]
+    return own.join(found.alias("found"), match).select(*(F.col(f"own.`{c}`") for c in docs.columns if c != "copies"), "found.copies")

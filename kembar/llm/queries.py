@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kembar import runtime
 from kembar.llm import exact_dedup, jaccard_join, mixing, packing, quality, repeats, secrets, toxicity, url_filter
 from kembar.llm.words import UPPER
@@ -106,3 +107,8 @@ def op9(spark, sf):
 def op10(spark, sf):
     stripped = repeats.repeated_bytes(documents(spark, sf))
     return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
