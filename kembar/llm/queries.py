@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kembar import runtime
-from kembar.llm import exact_dedup, jaccard_join, mixing, packing, quality, repeats, secrets, toxicity, url_filter
+from kembar.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, repeats, secrets, toxicity, url_filter
 from kembar.llm.words import UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,30 @@ def op6(spark, sf):
     return exact_dedup.exact_groups(documents(spark, sf)).drop("uid")
 
 
+def _shingles(words: str) -> str:
+    """Distinct five-word shingles of a list of words; fewer words are one shingle."""
+    return f"list_distinct(list_transform(range(1, greatest(len({words}) - 4, 1) + 1), lambda i: array_to_string({words}[i:i + 4], ' ')))"
+
+
+_LINES = "string_split(coalesce(text, ''), chr(10))"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op2_line_dedup", f"""
+    WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS no FROM (SELECT doc_id, {_LINES} AS l FROM documents)),
+    w AS (SELECT doc_id, no, {_WORDS.format(f"translate(line, '{UPPER}', '{UPPER.lower()}')")} AS w FROM lines),
+    s AS (SELECT doc_id, no, {_shingles("w")} AS t FROM w WHERE len(w) > 0),
+    tok AS (SELECT doc_id, no, len(t) AS n, unnest(t) AS k FROM s),
+    pairs AS (SELECT a.doc_id, a.no, a.n AS n, b.n AS m, count(*) AS c FROM tok a
+      JOIN tok b ON a.k = b.k AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.no < a.no)) GROUP BY a.doc_id, a.no, a.n, b.doc_id, b.no, b.n),
+    gone AS (SELECT doc_id, count(*) AS n_removed, string_agg(no, ',' ORDER BY no) AS removed_lines
+      FROM (SELECT DISTINCT doc_id, no FROM pairs WHERE 4 * c >= 3 * (n + m - c)) GROUP BY doc_id)
+    SELECT doc_id, len({_LINES})::bigint AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+    FROM documents LEFT JOIN gone USING (doc_id)""")
+def op2(spark, sf):
+    return line_dedup.line_counts(documents(spark, sf))
+
+
 @query("op3_pack")
 def op3(spark, sf):
     pieces = packing.token_pieces(documents(spark, sf))
@@ -87,7 +111,14 @@ def op4(spark, sf):
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op7_jaccard_join")
+@query("op7_jaccard_join", f"""
+    WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) > 0 THEN {_shingles("w")} ELSE [] END AS t
+      FROM (SELECT doc_id, {_WORDS.format(_NORMAL)} AS w FROM documents)),
+    tok AS MATERIALIZED (SELECT doc_id, len(t) AS n, unnest(t) AS k FROM s),
+    links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m, count(*) AS c
+      FROM tok x JOIN tok y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) WHERE 100 * c >= 75 * (n + m - c)),
+    reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+    SELECT doc_id, len(t)::bigint AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)""")
 def op7(spark, sf):
     return jaccard_join.jaccard_classes(documents(spark, sf))
 
