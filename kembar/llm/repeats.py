@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kembar import runtime
 from kembar.llm.words import per_batch
 
-WINDOW, SEED = 50, 20
+WINDOW, SEED = 50, 18
 #: Seeds in a window, and the bytes beside a seed of which two equal windows share those of one side at least.
 SEEDS, SIDE = WINDOW - SEED + 1, (WINDOW - SEED) // 2
 MULT, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -31,19 +31,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def substring_hashes(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     """For each length, 64-bit hashes of the bytes from every place on, by doubling."""
-    levels, size = [data.astype(np.uint64) + MULT], 1
+    def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = x * MULT
+        out += y
+        out ^= out >> np.uint64(31)
+        out *= ODD
+        return out
+
+    levels, size = [data.astype(np.uint64) * MULT], 1
     while 2 * size <= max(lengths):
         x = levels[-1]
-        levels.append(mixed(x[:-size] * MULT + x[size:]) if len(x) > size else x[:0])
+        levels.append(paired(x[:-size], x[size:]) if len(x) > size else x[:0])
         size *= 2
     out = []
     for length in lengths:
-        total, done = np.full(max(0, len(data) - length + 1), length, np.uint64), 0
-        for k in range(len(levels) - 1, -1, -1):
-            if length - done >= 1 << k:
-                total = mixed(total * MULT + levels[k][done:done + len(total)])
-                done += 1 << k
-        out.append(total)
+        parts = [k for k in range(len(levels) - 1, -1, -1) if length >> k & 1]
+        places, done = max(0, len(data) - length + 1), 1 << parts[0]
+        total = levels[parts[0]][:places]
+        for k in parts[1:]:
+            total = paired(total, levels[k][done:done + places])
+            done += 1 << k
+        out.append(mixed(total))
     return out
 
 
@@ -370,22 +378,36 @@ def windows_of(text: bytes) -> np.ndarray:
 
 def compare_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """Of fragments (doc, key, body) that may share windows: per document and key, a bit for each window that an earlier
-    document holds, found by search in a run-length index of the fragments."""
+    document holds.
+
+    A window whose hash stands in one document only is in no other. The fragments with other windows make a run-length
+    index, in which these windows are searched.
+    """
     rows = rows.drop_duplicates(["doc", "key"]).sort_values("doc")
-    index = RunLengthIndex(rows["body"].tolist(), rows["doc"].to_numpy(np.int64))
-    least, counts = [], [len(b) - WINDOW + 1 for b in rows["body"]]
-    texts, at = rows["body"].tolist(), 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and held < 500_000:
-            held += counts[end]
-            end += 1
-        least.append(index.least_owners(np.concatenate([windows_of(t) for t in texts[at:end]])))
-        at = end
-    earlier = np.concatenate(least) < np.repeat(rows["doc"].to_numpy(np.int64), counts)
-    bits = np.where(earlier, np.int64(1) << (np.arange(len(earlier)) - np.repeat(np.cumsum(counts) - counts, counts)), 0)
-    masks = np.add.reduceat(bits, np.cumsum(counts) - counts)
-    return pd.DataFrame({"doc": rows["doc"].to_numpy(), "key": rows["key"].to_numpy(), "mask": masks})[masks != 0]
+    docs, texts = rows["doc"].to_numpy(np.int64), rows["body"].tolist()
+    counts = np.array([len(b) - WINDOW + 1 for b in texts], np.int64)
+    ends = np.cumsum([len(b) for b in texts])
+    starts = np.repeat(ends - [len(b) for b in texts], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    hashes = substring_hashes(whole, (WINDOW,))[0][starts]
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.argsort(hashes, kind="stable")
+    heads = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
+    of_doc = docs[owner[order]]
+    least, most = np.minimum.reduceat(of_doc, heads), np.maximum.reduceat(of_doc, heads)
+    many = np.empty(len(hashes), bool)
+    many[order] = np.repeat(least != most, np.diff(np.r_[heads, len(hashes)]))
+    earlier = np.zeros(len(hashes), bool)
+    if many.any():
+        held = np.unique(owner[many])
+        index = RunLengthIndex([texts[i] for i in held.tolist()], docs[held])
+        asked, windows = np.flatnonzero(many), np.lib.stride_tricks.sliding_window_view(whole, WINDOW)
+        for part in np.array_split(asked, len(asked) // 500_000 + 1):
+            earlier[part] = index.least_owners(windows[starts[part]]) < docs[owner[part]]
+    first = np.cumsum(counts) - counts
+    bits = np.where(earlier, np.int64(1) << (np.arange(len(earlier)) - np.repeat(first, counts)), 0)
+    masks = np.add.reduceat(bits, first)
+    return pd.DataFrame({"doc": docs, "key": rows["key"].to_numpy(), "mask": masks})[masks != 0]
 
 
 def covered_bytes(text: bytes, buckets: int, hot: np.ndarray, gone: bytes | None, masks: dict[int, int]) -> np.ndarray:
