@@ -89,14 +89,15 @@ def token_pieces(docs: DataFrame, vocabulary=public_vocabulary, capacity: int =
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """Lengths and times of the fullest bin that holds the longest length there is.
 
-    Bit s of a set says that s can be filled; lengths enter from the longest down, each as often as it is there, until the
-    capacity is met. Going back through the sets gives the lengths that made the highest sum.
+    Bit s of a set says that s can be filled; lengths enter from the shortest up, each as often as it is there. Going back
+    from the longest down, each is taken as often as what is left can still be filled, so that of equally full bins
+    the one with the longest pieces is chosen and short ones stay for later.
     """
-    lengths = sorted((n for n, c in counts.items() if c > 0), reverse=True)
-    room, sums, steps = capacity - lengths[0], 1, []
+    longest = max(counts)
+    room, sums, steps = capacity - longest, 1, []
     mask = (1 << (room + 1)) - 1
-    for n in lengths:
-        times = min(counts[n] - (n == lengths[0]), room // n)
+    for n in sorted(n for n in counts if n <= room):
+        times = min(counts[n] - (n == longest), room // n)
         if times <= 0:
             continue
         steps.append((n, sums, times))
@@ -105,11 +106,9 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
             used = min(part, times)
             sums |= (sums << (n * used)) & mask
             times, part = times - used, part * 2
-        if sums >> room & 1:
-            break
-    rest, found = sums.bit_length() - 1, {lengths[0]: 1}
+    rest, found = sums.bit_length() - 1, {longest: 1}
     for n, before, times in reversed(steps):
-        k = next(k for k in range(times + 1) if rest >= k * n and before >> (rest - k * n) & 1)
+        k = next(k for k in range(min(times, rest // n), -1, -1) if before >> (rest - k * n) & 1)
         if k:
             found[n] = found.get(n, 0) + k
         rest -= k * n
