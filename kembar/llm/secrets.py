@@ -119,8 +119,9 @@ class BlobLedger:
         texts = own.join(todo.withColumnRenamed("blob", "todo_blob").withColumnRenamed("path", "todo_path"),
                          F.col("path").eqNullSafe(F.col("todo_path")) & (F.col("blob") == F.col("todo_blob")))
         spans = per_batch(texts.select("blob", "text", "todo"), _scan(self.rules), LEDGER)
-        spans.write.mode("append").parquet(self.path)
+        # Rows that agree in path and text were scanned each; one row per pair of blob and rule goes into the ledger.
+        spans.dropDuplicates(["blob", "kind", "version"]).write.mode("append").parquet(self.path)
         order = F.expr("case kind " + " ".join(f"when '{r.kind}' then {i}" for i, r in enumerate(self.rules)) + " end")
-        hits = self.current().where(F.size("spans") > 0).dropDuplicates(["blob", "kind"]).select("blob", "kind", order.alias("kind_order"), F.explode("spans").alias("s"))
+        hits = self.current().where(F.size("spans") > 0).select("blob", "kind", order.alias("kind_order"), F.explode("spans").alias("s"))
         per_blob = hits.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", "kind_order", "kind", "s.end"))).alias("findings"))
         return found.join(per_blob, "blob", "left").select(F.col("path").alias(path_col), "blob", "findings")
