@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ KNOWN_WORDS = 400_000
 def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = 30.0) -> list[bytes]:
     """Words that toxic texts hold in more contexts than ordinary ones, least typical first.
 
-    A context is the pair of neighbours, so a passage that is copied many times counts once. `least` is the log-likelihood
+    A context is the pair of neighbours, by a checksum, so a passage that is copied many times counts once. `least` is the log-likelihood
     ratio from which the difference is not chance.
     """
     def contexts(texts: list[list[bytes]]) -> dict[bytes, int]:
@@ -36,7 +38,7 @@ def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: fl
             bare = [w.strip(EDGE) for w in text]
             for before, word, after in zip([b"", *bare], bare, [*bare[1:], b""], strict=False):
                 if word:
-                    found[word].add((before, after))
+                    found[word].add(zlib.crc32(after, zlib.crc32(before)))
         return {w: len(s) for w, s in found.items()}
 
     in_toxic, in_ordinary = contexts(toxic), contexts(ordinary)
@@ -144,7 +146,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionAll(marks.where("toxic = 0").orderBy(*order).limit(ordinary_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most that many rows of two numbers
 
     def cut(batch: pa.RecordBatch) -> dict:
         texts = []
@@ -155,8 +157,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC
         return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(texts, pa.binary())}
 
     sample = per_batch(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), cut, "doc_id bigint, toxic int, words binary")
-    texts = sorted((r.doc_id, r.toxic, bytes(r.words)) for r in sample.collect())
-    return fit([t.split() for _, y, t in texts if y == 1], [t.split() for _, y, t in texts if y == 0])
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "toxic", "words"])
+        kinds = [[bytes(w).split() for w in rows.loc[rows["toxic"] == y, "words"]] for y in (1, 0)]
+        model = fit(*kinds)
+        return pd.DataFrame({"plain": [model.plain], "toxic": [model.toxic], "cuts": [list(model.cuts)], "weights": [list(model.weights)]})
+
+    # The sample is bounded, so one task can hold it; the driver gets the model only.
+    learned = sample.groupBy(F.col("toxic").isNull().alias("all")).applyInPandas(learn, "plain binary, toxic binary, cuts array<int>, weights array<double>").first()
+    return Model(bytes(learned.plain), bytes(learned.toxic), tuple(learned.cuts), tuple(learned.weights)) if learned else fit([], [])
 
 
 def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
