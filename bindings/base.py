@@ -68,10 +68,13 @@ def passages(spark, sf) -> DataFrame:
 
 
 def text_pairs(spark, sf) -> DataFrame:
-    """Two sections of each document as a pair of texts."""
-    return proposals(spark, sf).select(
-        "doc_id", F.coalesce("ringkasan", F.lit("")).alias("a"), F.coalesce("pendahuluan", F.lit("")).alias("b")
-    )
+    """Each document's odd lines and its even lines as a pair of texts, so that the whole text is read."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+
+    def every_other(first: int):
+        return F.array_join(F.filter(lines, lambda x, i: i % 2 == first), "\n")
+
+    return documents(spark, sf).select("doc_id", every_other(0).alias("a"), every_other(1).alias("b"))
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -98,7 +101,7 @@ _built: dict[tuple, object] = {}
 
 def _once(spark, sf, what: str, build):
     """Indexes and points are tables: built once per session and folder, then read by every search."""
-    key = (spark.sparkContext.applicationId, sf, what)
+    key = (spark.sparkContext.applicationId, runtime.releases(spark), sf, what)
     if key not in _built:
         _built[key] = build()
     return _built[key]
@@ -244,7 +247,8 @@ def q_unpivot(table: str, ids: str) -> str:
 
 Q_SECTION_ROWS = f"{Q_PROPOSALS}, section_rows AS ({q_unpivot('proposals', 'doc_id, skema')})"
 Q_BATCH_ROWS = f"{Q_ITEMS}, batch_rows AS (SELECT * FROM ({q_unpivot('items', 'query_index, skema')}) WHERE coalesce(text, '') <> '')"
-Q_PAIRS = f"{Q_PROPOSALS}, pairs AS (SELECT doc_id, coalesce(ringkasan, '') AS a, coalesce(pendahuluan, '') AS b FROM proposals)"
+_OTHER_LINES = "array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x, i: i % 2 = {}), chr(10))"
+Q_PAIRS = f"{Q_PROPOSALS}, pairs AS (SELECT doc_id, {_OTHER_LINES.format(1)} AS a, {_OTHER_LINES.format(0)} AS b FROM documents)"
 Q_POINTS = f"{Q_SECTION_ROWS}, points AS (SELECT * FROM section_rows WHERE length({q_strip('text')}) > 10)"
 Q_WHOLE_POINTS = f"points AS (SELECT doc_id, source AS skema, 'text' AS section, 0 AS section_order, text FROM documents WHERE length({q_strip('text')}) > 10)"
 

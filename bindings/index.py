@@ -260,21 +260,22 @@ def rerank_bulk(spark, sf):
 
 
 @query("results_to_json", f"""WITH {q_bulk_dense(5, 'score > 0.1')}
-    SELECT query_index, to_json({{'results': list({{'doc_id': doc_id, 'skema': skema, 'section': section,
-      'similarity_score': similarity_score}} ORDER BY rank), 'total_results': count(*)}})::varchar AS response
-    FROM bulk GROUP BY query_index""")
+    SELECT query_index, to_json({{'results': coalesce(list({{'doc_id': doc_id, 'skema': skema, 'section': section,
+      'similarity_score': similarity_score}} ORDER BY rank) FILTER (doc_id IS NOT NULL), []), 'total_results': count(doc_id)}})::varchar AS response
+    FROM (SELECT query_index FROM items) LEFT JOIN bulk USING (query_index) GROUP BY query_index""")
 def results_to_json(spark, sf):
-    return to_response(search.search_bulk_dense(section_points(spark, sf), items(spark, sf), cutoff=0.1))
+    batch = items(spark, sf)
+    return to_response(search.search_bulk_dense(section_points(spark, sf), batch, cutoff=0.1), items=batch)
 
 
 @query("agg_columns_searched", f"""WITH {q_bulk_dense(5, 'score > -2')}
-    SELECT query_index, array_to_string(list(section ORDER BY section_order), ',') AS columns_searched,
+    SELECT query_index, coalesce(array_to_string(list(section ORDER BY section_order) FILTER (section IS NOT NULL), ','), '') AS columns_searched,
       coalesce(max(n), 0)::bigint AS total_results
-    FROM batch_rows LEFT JOIN (SELECT query_index, count(*) AS n FROM bulk GROUP BY ALL) USING (query_index) GROUP BY query_index""")
+    FROM (SELECT query_index FROM items) LEFT JOIN batch_rows USING (query_index) LEFT JOIN (SELECT query_index, count(*) AS n FROM bulk GROUP BY ALL) USING (query_index) GROUP BY query_index""")
 def agg_columns_searched(spark, sf):
-    batch = summaries.batch_rows(items(spark, sf))
-    found = search.search_bulk_dense(section_points(spark, sf), items(spark, sf))
-    return summaries.agg_columns_searched(batch, found).withColumn("columns_searched", F.array_join("columns_searched", ","))
+    batch = items(spark, sf)
+    found = search.search_bulk_dense(section_points(spark, sf), batch)
+    return summaries.agg_columns_searched(summaries.batch_rows(batch), found, items=batch).withColumn("columns_searched", F.array_join("columns_searched", ","))
 
 
 @query("union_sections", f"""WITH {Q_SECTION_ROWS} SELECT doc_id, section, length(text) AS n_chars FROM section_rows WHERE text IS NOT NULL""")

@@ -112,12 +112,6 @@ def fuzzy_ratio(spark, sf):
     return text_pairs(spark, sf).select("doc_id", F.round(p.fuzzy_ratio(*pair()), 6).alias("fuzzy_score"))
 
 
-@query("sequence_ratio")
-def sequence_ratio(spark, sf):
-    cleaned = text_pairs(spark, sf).select("doc_id", t.clean_lexical(F.col("a")).alias("a"), t.clean_lexical(F.col("b")).alias("b"))
-    return cleaned.select("doc_id", p.sequence_ratio(*pair()).alias("sequence"))
-
-
 @query("lexical_metrics")
 def lexical_metrics(spark, sf):
     return p.lexical_metrics(text_pairs(spark, sf), "a", "b").select("doc_id", "lexical.*")

@@ -122,22 +122,19 @@ def text_fingerprint(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(F.md5(text.cast("binary")))
 
 
-def phrase_bits(text: Column, phrases=ACADEMIC_PHRASES) -> Column:
-    """One bit per phrase the lower-cased text contains; at most 63 phrases."""
+def phrases_in(text: Column, phrases=ACADEMIC_PHRASES) -> Column:
+    """Numbers of the phrases that the lower-cased text contains."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    bits = F.lit(0).cast("bigint")
-    for position, phrase in enumerate(phrases):
-        bits = bits.bitwiseOR(F.when(F.contains(lowered, F.lit(phrase)), F.lit(1 << position).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return bits
+    return F.array_compact(F.array(*(F.when(F.contains(lowered, F.lit(phrase)), F.lit(at)) for at, phrase in enumerate(phrases))))
 
 
-def phrase_share(bits_a: Column, bits_b: Column, n_phrases: int = len(ACADEMIC_PHRASES)) -> Column:
-    return F.bit_count(bits_a.bitwiseAND(bits_b)) / F.lit(float(n_phrases))
+def phrase_share(in_a: Column, in_b: Column, n_phrases: int = len(ACADEMIC_PHRASES)) -> Column:
+    return F.size(F.array_intersect(in_a, in_b)) / F.lit(float(n_phrases))
 
 
 def phrase_overlap(a: Column, b: Column, phrases=ACADEMIC_PHRASES) -> Column:
     """Share of the phrases that both texts contain."""
-    return phrase_share(phrase_bits(a, phrases), phrase_bits(b, phrases), len(phrases))
+    return phrase_share(phrases_in(a, phrases), phrases_in(b, phrases), len(phrases))
 
 
 def preview(text: Column, length: int = 500, dots: bool = True) -> Column:

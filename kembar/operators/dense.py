@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,10 @@ def _units(column) -> np.ndarray:
     rows = len(column)
     if rows == 0:
         return np.zeros((0, 1))
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(values) % rows:
+    sizes = pc.list_value_length(column)
+    if sizes.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py():
         raise ValueError("vectors differ in length")
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = values.reshape(rows, -1)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     dead = np.abs(matrix).max(axis=1, keepdims=True) <= ZERO

@@ -54,13 +54,19 @@ def agg_bulk_summary(items: DataFrame, scores: DataFrame, item: str = "query_ind
     )
 
 
-def agg_columns_searched(batch: DataFrame, results: DataFrame, item: str = "query_index") -> DataFrame:
-    """Per batch item: the sections that were searched, in section order, and the number of results."""
+def agg_columns_searched(batch: DataFrame, results: DataFrame, item: str = "query_index", items: DataFrame | None = None) -> DataFrame:
+    """Per batch item: the sections that were searched, in section order, and the number of results.
+
+    Items named in `items` of which no section has a text get an empty list.
+    """
     ordered = F.transform(
         F.array_sort(F.collect_set(F.struct(section_order(F.col("section")).alias("at"), "section"))),
         lambda x: x["section"],
     )
     searched = batch.groupBy(item).agg(ordered.alias("columns_searched"))
+    if items is not None:
+        none = F.array().cast("array<string>")
+        searched = items.select(item).distinct().join(searched, item, "left").withColumn("columns_searched", F.coalesce("columns_searched", none))
     counts = results.groupBy(item).agg(F.count("*").alias("total_results"))
     return searched.join(counts, item, "left").select(
         item, "columns_searched", F.coalesce("total_results", F.lit(0)).alias("total_results")

@@ -18,13 +18,16 @@ from kembar.plans.search import join_matched_text
 
 
 def join_skema_fallback(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """Drop the category of a query where that category has no points in the section, and say so."""
-    known = points.select(F.col("skema").cast("string").alias("skema"), "section").distinct()
-    known = runtime.broadcast_if_small(known.withColumn("__known", F.lit(True)))
+    """Drop the category of a query where that category has no points in the section, and say so.
+
+    A query without a section asks for all sections, so its category counts as known if any section has points of it.
+    """
+    known = points.select(F.col("skema").cast("string").alias("__skema"), F.col("section").alias("__section")).distinct()
+    anywhere = known.select("__skema", F.lit(None).cast("string").alias("__section")).distinct()
+    known = runtime.broadcast_if_small(runtime.written(known.unionAll(anywhere).distinct().withColumn("__known", F.lit(True)), "known-skemas"))
     asked = queries.withColumn("search_skema", F.nullif(F.col("skema"), F.lit(""))).drop("skema")
-    joined = asked.join(
-        known.withColumnRenamed("skema", "search_skema"), ["search_skema", "section"], "left"
-    )
+    same = (F.col("search_skema") == F.col("__skema")) & F.col("section").eqNullSafe(F.col("__section"))
+    joined = asked.join(known, same, "left").drop("__skema", "__section")
     return joined.withColumns({
         "skema": F.when(F.col("__known"), F.col("search_skema")),
         "fallback_used": F.col("search_skema").isNotNull() & F.col("__known").isNull(),
@@ -88,14 +91,14 @@ def detect(
 
 
 def cut_queries(queries: DataFrame, forced: bool | None = None, profile: str | int = "balanced") -> DataFrame:
-    """Cleaned queries -> one row per segment; a query that is not cut is one segment. Adds `segment_id`."""
+    """Cleaned queries -> one row per segment; a query that is not cut, or has no sentence, is one segment. Adds `segment_id`."""
     queries = queries.withColumn("__cut", seg.should_segment(F.col("words"), forced))
     parts = seg.segment_text(queries.where(F.col("__cut")), ["query_id"], "text", profile)
-    whole = queries.where(~F.col("__cut")).select(
-        "query_id", F.lit(0).alias("segment_index"), F.col("text").alias("segment_text"), F.col("words").alias("segment_words")
+    rest = [c for c in queries.columns if c not in ("query_id", "text", "words", "__cut")]
+    units = queries.join(parts, "query_id", "left").select(
+        "query_id", *rest, F.coalesce("segment_index", F.lit(0)).alias("segment_index"),
+        F.coalesce("segment_text", "text").alias("segment_text"), F.coalesce("segment_words", "words").alias("segment_words"),
     )
-    rest = [c for c in queries.columns if c not in ("text", "words", "__cut")]
-    units = parts.unionByName(whole).join(queries.select(*rest), "query_id")
     return runtime.written(units.withColumn("segment_id", F.monotonically_increasing_id()), "segments")
 
 

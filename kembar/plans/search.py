@@ -25,10 +25,12 @@ FULL_SCORES = ("exact_score", "fuzzy_score", "semantic_score", "final_score")
 def matched_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """The text of each hit document, once, and the number of copies that its hits are dealt out to.
 
-    Only top-k survivors come here, so their keys go to the texts and not the other way round.
+    Only top-k survivors come here, so their keys go to the texts and not the other way round. Of several texts under one
+    key, the first in order is taken.
     """
     sizes = hits.groupBy(*KEYS).agg(F.ceil(F.count("*") / F.lit(HUB_HITS)).cast("int").alias("copies"))
-    return texts.select(*KEYS, "text").join(runtime.broadcast_if_small(sizes), KEYS)
+    found = texts.select(*KEYS, "text").join(runtime.broadcast_if_small(sizes), KEYS)
+    return found.groupBy(*KEYS, "copies").agg(F.min("text").alias("text"))
 
 
 def join_found(hits: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+_releases: dict[str, int] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +44,12 @@ def release(spark: SparkSession) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _releases[context.applicationId] = releases(spark) + 1
+
+
+def releases(spark: SparkSession) -> int:
+    """How often this session released its tables: handles made before the last time are void."""
+    return _releases.get(spark.sparkContext.applicationId, 0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -10,12 +10,19 @@ from kembar.functions import text as t
 from kembar.schema import SECTIONS
 
 
+BROKEN = "_broken"
+
+
 def explode_request(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
-    """A request {"texts": [...], "top_k": n, "threshold": x} -> one row per element, in order."""
+    """A request {"texts": [...], "top_k": n, "threshold": x} -> one row per element, in order.
+
+    A request that is no such object, and one without elements, is one row with a null element; the first has an `error`.
+    """
     request = F.from_json(F.col(json_col), "texts array<string>, top_k int, threshold double")
+    error = F.when(F.col("r.texts").isNull(), F.lit("Invalid request"))
     return df.select(*keys, request.alias("r")).select(
-        *keys, F.col("r.top_k").alias("top_k"), F.col("r.threshold").alias("threshold"),
-        F.posexplode("r.texts").alias("query_index", "element"),
+        *keys, F.col("r.top_k").alias("top_k"), F.col("r.threshold").alias("threshold"), error.alias("error"),
+        F.posexplode_outer("r.texts").alias("query_index", "element"),
     )
 
 
@@ -31,18 +38,20 @@ def parse_query_batch(
     head = F.substring(raw, 1, 1)
     inner = F.when(head == "{", raw)
     if mode != "skip":
-        inner = inner.when(head == "[", F.get_json_object(raw, "$[0]"))
+        # Only an object is unwrapped, not a string that looks like one.
+        inner = inner.when(F.regexp_extract(raw, r"^\[\s*(.)", 1) == "{", F.get_json_object(raw, "$[0]"))
     fields = T.StructType([T.StructField(name, T.StringType()) for name in ("skema", *sections)])
     looked = df.withColumns({"__raw": raw, "__head": head, "__inner": inner})
-    looked = looked.withColumn("__ok", F.coalesce(F.substring("__inner", 1, 1) == "{", F.lit(False)))
-    looked = looked.withColumn("__item", F.when(F.col("__ok"), F.from_json("__inner", fields)))
+    parsed = T.StructType([*fields.fields, T.StructField(BROKEN, T.StringType())])
+    looked = looked.withColumn("__item", F.from_json("__inner", parsed, {"columnNameOfCorruptRecord": BROKEN}))
+    looked = looked.withColumn("__ok", F.col("__item").isNotNull() & F.col(f"__item.{BROKEN}").isNull())
     good = looked.where(F.col("__ok")).select(item, *[F.col("__item")[f].alias(f) for f in fields.names])
     kind = (
         F.when(F.col("__head") == '"', "str").when(F.col("__head").isin("t", "f"), "bool")
-        .when(F.col("__head") == "n", "NoneType").otherwise("number")
+        .when(F.col("__head") == "n", "NoneType").when(F.col("__raw").rlike(r"^-?\d+$"), "int").otherwise("float")
     )
     if mode == "describe":
-        error = F.when(F.col("__head") == "[", F.concat(F.lit("Invalid list format: "), "__raw")).otherwise(
+        error = F.when(F.col("__head") == "{", F.concat(F.lit("Invalid JSON: "), "__raw")).when(F.col("__head") == "[", F.concat(F.lit("Invalid list format: "), "__raw")).otherwise(
             F.concat(F.lit("Expected dict but got "), kind, F.lit(": "), "__raw")
         )
     else:
@@ -51,10 +60,17 @@ def parse_query_batch(
     return good, bad if mode != "skip" else bad.where(F.lit(False))
 
 
-def results_to_json(results: DataFrame, item: str = "query_index", fields=("doc_id", "skema", "section", "similarity_score")) -> DataFrame:
-    """One JSON response per batch item, its results in rank order. An item holds at most k results."""
+def results_to_json(results: DataFrame, item: str = "query_index", fields=("doc_id", "skema", "section", "similarity_score"), items: DataFrame | None = None) -> DataFrame:
+    """One JSON response per batch item, its results in rank order. An item holds at most k results.
+
+    Items named in `items` that have no result get an empty list.
+    """
     row = F.struct(*fields)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))), lambda x: x["row"])
-    return results.groupBy(item).agg(ordered.alias("results")).select(
+    found = results.groupBy(item).agg(ordered.alias("results"))
+    if items is not None:
+        none = F.array().cast(found.schema["results"].dataType)
+        found = items.select(item).distinct().join(found, item, "left").withColumn("results", F.coalesce("results", none))
+    return found.select(
         item, F.to_json(F.struct("results", F.size("results").alias("total_results"))).alias("response")
     )
