@@ -88,39 +88,65 @@ class Fragments:
         return fragment_key(self.cut_seed(buckets), self.content >> np.uint64(16))
 
 
+#: Bytes of texts that are cut into fragments together; a longer text is alone.
+TOGETHER = 1 << 17
+
+
+def fragments_of(texts: Iterator[bytes], hot: np.ndarray | None = None) -> Iterator[tuple[list[bytes], np.ndarray, Fragments]]:
+    """Fragments of texts, some texts at a time: (texts, number of its text for each fragment, fragments)."""
+    held, size = [], 0
+    for data in texts:
+        if held and size + len(data) > TOGETHER:
+            yield held, *_cut(held, hot)
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield held, *_cut(held, hot)
+
+
 def fragments(data: bytes, hot: np.ndarray | None = None) -> Fragments | None:
-    """All fragments of a text, or None if it is shorter than a window.
+    """Fragments of one text, or None if it is shorter than a window."""
+    return _cut([data], hot)[1] if len(data) >= WINDOW else None
 
-    Where a window stands in a text, its least seed is the same, so equal windows are in fragments of equal seeds. Fragments
-    of a hot seed are cut into single windows, which go by their own hash instead.
-    """
-    if len(data) < WINDOW:
-        return None
-    raw = np.frombuffer(data, np.uint8)
+
+def _cut(texts: list[bytes], hot: np.ndarray | None) -> tuple[np.ndarray, Fragments]:
+    """Where a window stands in a text, its least seed is the same, so equal windows are in fragments of equal seeds. Fragments
+    of a hot seed are cut into single windows, which go by their own hash instead."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
     seeds, sides, windows = substring_hashes(raw, (SEED, SIDE, WINDOW))
-    places = []
+    places = [np.empty(0, np.int64)]
     for first in range(0, len(windows), CHUNK):
         part = seeds[first:first + CHUNK + SEEDS - 1]
         coded = (part & ~np.uint64(0xFFFFF)) | np.arange(len(part), dtype=np.uint64)
         places.append((sliding_least(coded, SEEDS) & np.uint64(0xFFFFF)).astype(np.int64) + first)
     place = np.concatenate(places)
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    owner = np.repeat(np.arange(len(texts)), sizes)[:len(place)]
+    inside = np.arange(len(place)) + WINDOW <= ends[owner] if len(place) else np.empty(0, bool)
+    change = np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])] if len(place) else inside
+    start = np.flatnonzero(change)
     count = np.diff(np.r_[start, len(place)])
-    at = place[start]
+    start, count = start[inside[start]], count[inside[start]]
+    text, at = owner[start], place[start]
     seed = seeds[at]
     content = mixed(windows[start] * MULT + windows[start + count - 1] * ODD + count.astype(np.uint64))
-    left = np.where(at >= SIDE, sides[np.maximum(at - SIDE, 0)] | np.uint64(1), np.uint64(0))
-    behind = at + SEED
-    right = np.where(behind + SIDE <= len(raw), sides[np.minimum(behind, len(sides) - 1)] | np.uint64(1), np.uint64(0))
-    if hot is not None and len(hot):
+    begin, end = (ends - sizes)[text], ends[text]
+    left = np.where(at - begin >= SIDE, sides[np.maximum(at - SIDE, 0)] | np.uint64(1), np.uint64(0)) if len(at) else seed
+    right = np.where(at + SEED + SIDE <= end, sides[np.minimum(at + SEED, len(sides) - 1)] | np.uint64(1), np.uint64(0)) if len(at) else seed
+    if hot is not None and len(hot) and len(seed):
         is_hot = hot[np.minimum(np.searchsorted(hot, seed), len(hot) - 1)] == seed
         if is_hot.any():
             single = np.concatenate([np.arange(s, s + n) for s, n in zip(start[is_hot], count[is_hot], strict=True)])
             zero, one = np.zeros(len(single), np.uint64), np.ones(len(single), np.int64)
             cold = ~is_hot
-            return Fragments(*(np.r_[a[cold], b] for a, b in (
-                (start, single), (count, one), (seed, windows[single]), (content, windows[single]), (left, zero), (right, zero))))
-    return Fragments(start, count, seed, content, left, right)
+            text = np.r_[text[cold], owner[single]]
+            start, count, seed, content, left, right = (np.r_[a[cold], b] for a, b in (
+                (start, single), (count, one), (seed, windows[single]), (content, windows[single]), (left, zero), (right, zero)))
+            order = np.argsort(text, kind="stable")
+            text, start, count, seed, content, left, right = (x[order] for x in (text, start, count, seed, content, left, right))
+    return text, Fragments(start - (ends - sizes)[text], count, seed, content, left, right)
 
 
 # ---------------------------------------------------------------- run-length index
@@ -231,6 +257,11 @@ def body_bytes(value: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value)
 
 
+def _bodies(column: pa.Array) -> Iterator[bytes]:
+    for i in range(len(column)):
+        yield (column[i].as_py() or "").encode("utf-8", "surrogatepass")
+
+
 BUCKETED = "bucket int, docs binary, at binary, seed binary, content binary, left binary, right binary, done_at binary, done_key binary"
 
 
@@ -260,11 +291,11 @@ def bucket_rows(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             ids, column, found, owner = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("text"), [], []
-            for i in range(batch.num_rows):
-                f = fragments((column[i].as_py() or "").encode("utf-8", "surrogatepass"), sent.value)
-                if f is not None:
-                    found.append((f.seed, f.content, f.key(buckets), f.left, f.right))
-                    owner.append(np.full(len(f.seed), i, np.int64))
+            done = 0
+            for texts, text, f in fragments_of(_bodies(column), sent.value):
+                found.append((f.seed, f.content, f.key(buckets), f.left, f.right))
+                owner.append(text + done)
+                done += len(texts)
             if not found:
                 continue
             seed, content, key, left, right = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -301,7 +332,8 @@ def bucket_rows(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 
 
 def settle_bucket(buckets: int):
-    """Of one bucket's fragments: per document the keys of those that are repeats, and of those to be compared by windows."""
+    """Of one bucket's fragments: documents and keys of those that are repeats, and of those to be compared by windows, for
+    each group of documents."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         docs, seeds, contents, lefts, rights, done_docs, done_keys = [], [], [], [], [], [], []
         for r in rows.itertuples():
@@ -334,20 +366,27 @@ def settle_bucket(buckets: int):
                 least, most = d[starts], d[np.r_[starts[1:], len(d)] - 1]
                 asked[order] |= ((least != most) & (s[starts] > 0))[np.cumsum(head) - 1]
         out = []
-        for ids, keys, name in ((np.concatenate([gone[0], *done_docs]), np.concatenate([gone[1], *done_keys]), "gone"), (doc[asked], key[asked], "asked")):
-            order = np.argsort(ids, kind="stable")
-            ids, keys = ids[order], keys[order]
-            cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
-            blobs = [keys[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(ids)], strict=False)]
-            out.append(pd.DataFrame({"doc": ids[cuts], name: blobs}))
-        return out[0].merge(out[1], on="doc", how="outer").reindex(columns=["doc", "gone", "asked"]).astype({"doc": "int64"})
+        for ids, keys, asks in ((np.concatenate([gone[0], *done_docs]), np.concatenate([gone[1], *done_keys]), False), (doc[asked], key[asked], True)):
+            group = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            cuts = np.searchsorted(group[order], np.arange(buckets + 1))
+            out += [(g, asks, ids[order[a:b]].tobytes(), keys[order[a:b]].tobytes()) for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        return pd.DataFrame(out, columns=["g", "asks", "docs", "keys"])
 
     return run
 
 
-def joined(column: str):
-    """The buffers of a group, one after the other."""
-    return F.unhex(F.array_join(F.transform(F.collect_list(column), F.hex), "")).alias(column)
+def per_document(rows: pd.DataFrame) -> pd.DataFrame:
+    """(doc, gone, asked): the keys of each document of one group, as buffers."""
+    out = []
+    for asks, name in ((False, "gone"), (True, "asked")):
+        own = rows[rows["asks"] == asks]
+        ids, keys = np.frombuffer(b"".join(own["docs"]), np.int64), np.frombuffer(b"".join(own["keys"]), np.uint64)
+        order = np.argsort(ids, kind="stable")
+        ids, keys = ids[order], keys[order]
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
+        out.append(pd.DataFrame({"doc": ids[cuts], name: [keys[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(ids)], strict=False)]}))
+    return out[0].merge(out[1], on="doc", how="outer").reindex(columns=["doc", "gone", "asked"]).astype({"doc": "int64"})
 
 
 def hot_seeds(docs: DataFrame, sample: int = 32, share: int = 1000, least: int = 12) -> np.ndarray:
@@ -357,11 +396,7 @@ def hot_seeds(docs: DataFrame, sample: int = 32, share: int = 1000, least: int =
     fragments on average, so they may go to all tasks.
     """
     def run(batch: pa.RecordBatch) -> dict:
-        column, found = batch.column("text"), []
-        for i in range(batch.num_rows):
-            f = fragments((column[i].as_py() or "").encode("utf-8", "surrogatepass"))
-            if f is not None:
-                found.append((f.seed, f.content))
+        found = [(f.seed, f.content) for _, _, f in fragments_of(_bodies(batch.column("text")))]
         seed, content = (np.concatenate(c).view(np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
         return {"seed": seed, "content": content}
 
@@ -410,10 +445,9 @@ def compare_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": docs, "key": rows["key"].to_numpy(), "mask": masks})[masks != 0]
 
 
-def covered_bytes(text: bytes, buckets: int, hot: np.ndarray, gone: bytes | None, masks: dict[int, int]) -> np.ndarray:
+def covered_bytes(size: int, f: Fragments | None, buckets: int, gone: bytes | None, masks: dict[int, int]) -> np.ndarray:
     """Which bytes of a text lie in a window that is a repeat."""
-    f = fragments(text, hot)
-    hit = np.zeros(len(text) + 1, np.int64)
+    hit = np.zeros(size + 1, np.int64)
     if f is not None:
         key = f.key(buckets)
         whole = np.isin(key, np.frombuffer(gone or b"", np.uint64))
@@ -445,21 +479,22 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (16 * fragments_per_bucket) + 1)
     hot = hot_seeds(plain)
     sent = spark.sparkContext.broadcast(hot)
-    settled = bucket_rows(plain, buckets, hot).groupBy("bucket").applyInPandas(settle_bucket(buckets), "doc bigint, gone binary, asked binary")
-    verdicts = runtime.written(settled.groupBy("doc").agg(joined("gone"), joined("asked")), "repeat-verdicts")
+    settled = bucket_rows(plain, buckets, hot).groupBy("bucket").applyInPandas(settle_bucket(buckets), "g bigint, asks boolean, docs binary, keys binary")
+    verdicts = settled.groupBy("g").applyInPandas(per_document, "doc bigint, gone binary, asked binary")
+    verdicts = runtime.written(verdicts, "repeat-verdicts")
     texts = texts_of(docs, id_col, text_col)
 
     def asked_fragments(batch: pa.RecordBatch) -> dict:
-        out = []
-        for doc, body, asked in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-            data = body_bytes(body)
-            f = fragments(data, sent.value)
-            if f is None:
-                continue
-            key = f.key(buckets)
-            where = np.flatnonzero(np.isin(key, np.frombuffer(asked, np.uint64)))
-            seed = f.cut_seed(buckets)[where].view(np.int64)
-            out += [(s, doc, k, data[a:a + n + WINDOW - 1]) for s, k, a, n in zip(seed.tolist(), key[where].view(np.int64).tolist(), f.start[where].tolist(), f.count[where].tolist(), strict=True)]
+        out, row = [], 0
+        docs_, asked_ = batch.column("doc").to_pylist(), batch.column("asked")
+        for texts, text, f in fragments_of((body_bytes(x.as_py()) for x in batch.column("body")), sent.value):
+            key, seed = f.key(buckets), f.cut_seed(buckets).view(np.int64)
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+            for k, data in enumerate(texts):
+                where = cuts[k] + np.flatnonzero(np.isin(key[cuts[k]:cuts[k + 1]], np.frombuffer(asked_[row + k].as_py(), np.uint64)))
+                out += [(s, docs_[row + k], q, data[a:a + n + WINDOW - 1]) for s, q, a, n in zip(
+                    seed[where].tolist(), key[where].view(np.int64).tolist(), f.start[where].tolist(), f.count[where].tolist(), strict=True)]
+            row += len(texts)
         columns = list(zip(*out, strict=True)) or [()] * 4
         kinds = dict(seed=pa.int64(), doc=pa.int64(), key=pa.int64(), body=pa.binary())
         return {n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)}
@@ -482,7 +517,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if not gone and not masks:
                 out.append((len(data), 0, 0, data))
                 continue
-            covered = covered_bytes(data, buckets, sent.value, gone, masks)
+            covered = covered_bytes(len(data), fragments(data, sent.value), buckets, gone, masks)
             edges = np.diff(np.r_[False, covered].astype(np.int8)) > 0
             out.append((len(data), int(covered.sum()), int(edges.sum()), np.frombuffer(data, np.uint8)[~covered].tobytes()))
         columns = list(zip(*out, strict=True)) or [()] * 4
