@@ -89,7 +89,7 @@ class Fragments:
 
 
 #: Bytes of texts that are cut into fragments together; a longer text is alone.
-TOGETHER = 1 << 17
+TOGETHER = 1 << 15
 
 
 def fragments_of(texts: Iterator[bytes], hot: np.ndarray | None = None) -> Iterator[tuple[list[bytes], np.ndarray, Fragments]]:
