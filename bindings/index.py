@@ -214,7 +214,7 @@ def topk_dense_threshold(spark, sf):
 
 @query("best_match", f"WITH {Q_CENTROIDS}, {Q_NEAR.format(where='true', k=1)} SELECT query_id, doc_id, skema, similarity_score FROM near")
 def best_match(spark, sf):
-    found = dense.theta_join(vectors(spark, sf), centroids(spark, sf), cutoff=-1.1)
+    found = dense.nearest(vectors(spark, sf), centroids(spark, sf), 1).drop("rank")
     return rows.best_match(found, ["query_id"]).drop("section")
 
 

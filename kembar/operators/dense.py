@@ -8,12 +8,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kembar import runtime
 from kembar.functions.vectors import ZERO
 from kembar.operators.rows import by_score, top_k
 from kembar.schema import SECTIONS, section_order
 
 QUERY_BLOCK = 4096
 POINT_TILE = 20_000
+#: Sections or categories up to which a filter on points names them.
+ASKED = 1000
 CELLS = 4_000_000
 
 _HITS = "query_id bigint, doc_id bigint, skema string, section string, section_order int, similarity_score double"
@@ -138,7 +141,8 @@ def score_points(
     """Score points against queries; a query's section and category, where not null, must be equal.
 
     With `k`, every task gives at most k rows per query. Up to `block` queries travel with the tasks. More than that
-    are cut into blocks, points into tiles, and each block meets each tile in a group of bounded size.
+    are cut into blocks, points into tiles, and each block meets each tile in a group of bounded size. Queries are written
+    once, so that their vectors are made once; sections and categories that no query asks for are not read.
     """
     columns = ["doc_id", "skema", "section", "section_order", "embedding"]
     points = points.withColumn("section_order", section_order(F.col("section"), sections)).select(
@@ -148,6 +152,11 @@ def score_points(
         "query_id", F.nullif(F.col("section"), F.lit("")).alias("section"),
         F.nullif(F.col("skema").cast("string"), F.lit("")).alias("skema"), "embedding",
     ).where(F.col("embedding").isNotNull())
+    queries = runtime.written(queries, "dense-queries")
+    for name in ("section", "skema"):
+        asked = [row[0] for row in queries.select(name).distinct().limit(ASKED + 1).collect()]
+        if len(asked) <= ASKED and None not in asked:
+            points = points.where(F.col(name).isin(asked))
     carried = queries.limit(block + 1).toArrow()
     if len(carried) == 0:
         return points.sparkSession.createDataFrame([], _HITS)

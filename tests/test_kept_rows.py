@@ -77,3 +77,14 @@ def test_any_number_of_phrases(evaluate):
     phrases = tuple(f"frasa {i}x" for i in range(70))
     text = " ".join(phrases)
     assert evaluate(t.phrase_overlap(F.lit(text), F.lit(" ".join(phrases[:35])), phrases)) == pytest.approx(0.5)
+
+
+def test_points_of_other_sections_are_not_read(spark, tmp_path):
+    rows = [(1, "A", "judul", [1.0, 0.0]), (2, "B", "metode", [0.0, 1.0]), (3, "A", "metode", [1.0, 1.0])]
+    spark.createDataFrame(rows, "doc_id bigint, skema string, section string, embedding array<float>").write.partitionBy("section").parquet(f"{tmp_path}/points")
+    stored = spark.read.parquet(f"{tmp_path}/points")
+    asked = spark.createDataFrame([(1, "metode", None, [1.0, 0.0])], "query_id bigint, section string, skema string, embedding array<float>")
+    found = dense.score_points(stored, asked, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "section" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert {r.doc_id for r in found.collect()} == {2, 3}
