@@ -136,8 +136,11 @@ def cosine(index: TfidfIndex, weights: DataFrame, limit: int = runtime.BROADCAST
     if runtime.fits_broadcast(weights, limit):
         products = weights.agg(F.sum("df")).first()[0] or 0
         tasks = max(weights.sparkSession.sparkContext.defaultParallelism, products // TASK_PRODUCTS + 1)
-        wanted = F.broadcast(weights.select(*on).distinct())
-        hits = index.postings.join(wanted, on, "left_semi").repartition(tasks, "doc_id")
+        # Postings of a category that nobody asks for with this term do not move.
+        wanted = weights.select(*(F.col(c).alias(f"q_{c}") for c in (*on, "wanted_skema"))).distinct()
+        same = (F.col("section") == F.col("q_section")) & (F.col("term") == F.col("q_term"))
+        asked = F.col("q_wanted_skema").isNull() | (F.col("q_wanted_skema") == F.col("skema"))
+        hits = index.postings.join(F.broadcast(wanted), same & asked, "left_semi").repartition(tasks, "doc_id")
         pairs = hits.join(F.broadcast(weights.drop("df")), on)
     else:
         shards = F.explode(F.sequence(F.lit(0), shard_count(F.col("df")) - 1))
