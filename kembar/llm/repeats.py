@@ -183,7 +183,13 @@ class RunLengthIndex:
 
     @staticmethod
     def _order(text: np.ndarray) -> np.ndarray:
-        rank, span = text.astype(np.int64), 1
+        # Eight bytes are one number to begin with; from there on, doubling.
+        padded, key = np.r_[text, np.zeros(8, np.uint8)], np.zeros(len(text), np.uint64)
+        for k in range(8):
+            key = key << np.uint64(8) | padded[k:k + len(text)]
+        order = np.argsort(key, kind="stable")
+        rank, span = np.empty(len(text), np.int64), 8
+        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
         while span < WINDOW:
             step = min(span, WINDOW - span)
             behind = np.r_[rank[step:] + 1, np.zeros(step, np.int64)]
