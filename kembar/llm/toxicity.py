@@ -111,9 +111,11 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
 
 
 def fit(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
-    """Dictionaries from one half of the texts, cuts and weights from the other; from all of them if there are few."""
+    """Dictionaries from one half of the texts, cuts and weights from the other; from all of them if there are few.
+
+    Without toxic texts, or with too few ordinary ones for a dictionary, every text has one low score."""
     if not toxic or sum(map(len, ordinary)) < 800:
-        return Model(b"", b"", weights=(-2.0, 0.0, 0.0, 0.0, 0.0)) if not toxic else Model(b"", b"", weights=(0.0,) * 5)
+        return Model(b"", b"", weights=(-2.0, 0.0, 0.0, 0.0, 0.0))
     half = len(toxic) >= 200
     plain, special = train_dictionaries(toxic[::2] if half else toxic, ordinary[::2] if half else ordinary)
     held = (toxic[1::2], ordinary[1::2]) if half else (toxic, ordinary)

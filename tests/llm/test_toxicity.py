@@ -60,3 +60,9 @@ def test_without_labels_or_documents(spark):
     none = tx.fit_toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert tx.score_toxicity(docs, none).first().toxic_score < 0.3
     assert tx.score_toxicity(docs.where("false"), none).count() == 0
+
+
+def test_few_ordinary_words_reject_nothing():
+    toxic, ordinary = [[b"zukker", b"blitzorf"] * 20] * 5, [[b"ta", b"ri", b"mo"] * 10]
+    for few in (ordinary, []):
+        assert (tx.fit(toxic, few).scores([*ordinary, []]) < 0.3).all()
