@@ -24,6 +24,8 @@ DICTIONARY_BYTES = 4096
 VIEWS = ((1, 3), (3, 5))
 EDGE = b".,;:!?\"'()[]"
 KNOWN_WORDS = 400_000
+#: Bits of each view's count in a sum of codes; a text is below two GiB, so no count reaches 2**32.
+COUNT_BITS = 32
 
 
 def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = 30.0) -> list[bytes]:
@@ -88,11 +90,11 @@ class Model:
             known.clear()
         new = {w for text in texts for w in text if w not in known}
         for word, saved in self.savings(new).items():
-            known[word] = sum((s >= cut) << (20 * k) for k, (s, cut) in enumerate(zip(saved, self.cuts, strict=True)))
+            known[word] = sum((s >= cut) << (COUNT_BITS * k) for k, (s, cut) in enumerate(zip(saved, self.cuts, strict=True)))
         rows = []
         for text in texts:
             total = sum(map(known.__getitem__, text))
-            hits = [(total >> (20 * k)) & 0xFFFFF for k in range(len(VIEWS))]
+            hits = [(total >> (COUNT_BITS * k)) & ((1 << COUNT_BITS) - 1) for k in range(len(VIEWS))]
             rows.append([1.0, *(f for h in hits for f in (math.log1p(h), h / max(1, len(text)) * 10))])
         return np.array(rows, float).reshape(-1, 1 + 2 * len(VIEWS))
 
@@ -125,7 +127,7 @@ def fit(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
     for first in (2, 3, 4):
         for second in (3, 4, 5):
             model = Model(plain, special, (first, second))
-            known = {w: (s[0] >= first) + ((s[1] >= second) << 20) for w, s in saved.items()}
+            known = {w: (s[0] >= first) + ((s[1] >= second) << COUNT_BITS) for w, s in saved.items()}
             weights, loss = calibrate(_features(known, texts), y)
             if best is None or loss < best[0]:
                 best = loss, Model(plain, special, model.cuts, tuple(map(float, weights)))

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,9 @@ def test_few_ordinary_words_reject_nothing():
     toxic, ordinary = [[b"zukker", b"blitzorf"] * 20] * 5, [[b"ta", b"ri", b"mo"] * 10]
     for few in (ordinary, []):
         assert (tx.fit(toxic, few).scores([*ordinary, []]) < 0.3).all()
+
+
+def test_counts_of_very_long_texts(monkeypatch):
+    monkeypatch.setattr(tx.Model, "savings", lambda self, words: {w: (9, 0) for w in words})
+    n = (1 << 20) + 5
+    assert np.allclose(tx.Model(b"", b"").features([[b"zukker"] * n]), [[1, np.log1p(n), 10, 0, 0]])
