@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kembar import runtime
-from kembar.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, repeats, secrets, toxicity, url_filter
+from kembar.llm import (
+    conversations, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, repeats, secrets, toxicity, url_filter, warc,
+    whitening,
+)
 from kembar.llm.words import UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +143,32 @@ def op10(spark, sf):
     return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_warc", """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS original FROM p)
+    SELECT page_id, payload_bytes::bigint AS payload_bytes, payload_digest,
+      CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to FROM o""")
+def op11(spark, sf):
+    pages = runtime.spread(spark.read.parquet(f"{sf}/pages.parquet"))
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(warc.with_originals(pages), folder)
+    read = warc.read_records(index, folder, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op12_whitening")
+def op12(spark, sf):
+    whitened = whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op13_conversations")
+def op13(spark, sf):
+    rows = runtime.spread(spark.read.parquet(f"{sf}/conversations.parquet"))
+    return conversations.repair_conversations(conversations.damage(rows))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
