@@ -63,8 +63,8 @@ def tfidf_cosine(spark, sf):
     JOIN qn ON qn.query_id = qw.query_id AND qn.section = qw.section GROUP BY ALL""")
 def join_postings(spark, sf):
     index = text_index(spark, sf)
-    weights = runtime.written(tfidf.transform(index, passages(spark, sf)).drop("skema"), "weights")
-    joined = index.postings.join(runtime.broadcast_if_small(weights), ["section", "term"])
+    weights = runtime.written(tfidf.transform(index, passages(spark, sf)).withColumnRenamed("skema", "wanted_skema"), "weights")
+    joined = tfidf.join_postings(index.blocks, weights.drop("df").withColumn("upto", F.lit(1 << 30)), 0)
     return joined.groupBy("query_id", "term").agg(
         F.count("*").alias("n_postings"), F.round(F.sum(F.col("w") * F.col("qw")), 5).alias("total")
     )
@@ -85,7 +85,7 @@ def topk_tfidf(spark, sf):
       score > 0.1 AS above, score >= 0.8 AS flagged FROM sc WHERE score >= 0.1""")
 def score_cutoff(spark, sf):
     index = text_index(spark, sf)
-    scored = rows.score_cutoff(tfidf.cosine(index, tfidf.transform(index, passages(spark, sf))), 0.1)
+    scored = tfidf.scores_from(index, tfidf.transform(index, passages(spark, sf)), 0.1)
     score = F.col("similarity_score")
     return scored.select(
         "query_id", "doc_id", F.round(score, 6).alias("similarity_score"), (score > 0.1).alias("above"),
@@ -93,6 +93,27 @@ def score_cutoff(spark, sf):
     )
 
 
+@query("tfidf_layers", f"""WITH {Q_WHOLE}, {q_tfidf('corpus')}
+    SELECT section, term, floor(-2 * log2(greatest(round(w / norm, 6), 1e-6)) + 1e-6)::int AS layer, round(max(w / norm), 6) AS top, count(*) AS n
+    FROM dw JOIN dn USING (section, doc_id) GROUP BY ALL""")
+def tfidf_layers(spark, sf):
+    return text_index(spark, sf).layers.withColumn("top", F.round("top", 6))
+
+
+@query("tfidf_postings_read", f"""WITH {SEARCH} SELECT query_id, sum(df)::bigint AS n, true AS fewer FROM qw GROUP BY query_id""")
+def tfidf_postings_read(spark, sf):
+    """Postings of each query's terms, and whether the search for its best ten reads fewer."""
+    index = text_index(spark, sf)
+    counted = tfidf.postings_read(index, tfidf.transform(index, passages(spark, sf)), k=10)
+    return counted.select("query_id", "n", (F.col("n_read") < F.col("n")).alias("fewer"))
+
+
+@query("topk_tfidf_early_stop", f"WITH {SEARCH}, {q_hits(10)} SELECT query_id, doc_id, skema, similarity_score, rank FROM hits")
+def topk_tfidf_early_stop(spark, sf):
+    """The same hits as `topk_tfidf`, with layers of postings left out however small the index is."""
+    return tfidf.search(text_index(spark, sf), passages(spark, sf), stop_from=0).drop("section")
+
+
 def with_skema(queries):
     """Each passage asks for one category."""
     return queries.withColumn("skema", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))

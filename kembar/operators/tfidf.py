@@ -1,14 +1,20 @@
-"""TF-IDF index as tables, and cosine search over it as joins and aggregations.
+"""TF-IDF index as tables, and cosine search over it that stops early.
 
-An index has two tables. `idf` holds one row per section and term. `postings` holds one row per section, document and
-term with the L2-normalised weight; long posting lists are cut into shards so that no join key is hot.
+An index has four tables. `idf` holds one row per section and term. `vectors` holds one row per section and document with
+its L2-normalised weights. `blocks` holds the same weights by term: the postings of a term are cut into layers of like
+weight, long layers into slices, and each block knows its greatest weight. `layers` sums the blocks up.
+
+A search for scores from a bound on leaves out the lowest layers of its terms, as long as the greatest weights of what is
+left out cannot add up to the bound: a document that stands in such layers only cannot reach it. Documents that do stand
+in a layer that is read get the rest of their score from their vector, if their own bound still reaches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,14 +22,35 @@ from kembar import runtime
 from kembar.functions import text as t
 from kembar.operators.rows import top_k
 
-SHARD_ROWS = 200_000
+#: Postings of a term per slice; a block holds one layer of one slice.
+SLICE_ROWS = 4096
 BROADCAST_TERMS = 500_000
 TASK_PRODUCTS = 20_000_000
+#: From so many postings on, learning bounds and leaving layers out costs less than multiplying all of them.
+STOP_FROM = 50_000_000
+#: The part of the bound that layers left out may come to. More leaves out more layers, but settles fewer documents.
+SPARED = 0.5
+#: Postings and documents per wanted row that a first look at the heaviest layers takes, to learn the k-th score.
+LOOK_POSTINGS, LOOK_DOCUMENTS = 50, 3
+#: Categories up to which postings of a term are sorted out by category before they move.
+ASKED = 64
+#: What sums of doubles may be off by, and what rounding to six digits may hide.
+SLACK, ROUNDING = 1e-9, 1e-6
+ROWS_OF_A_SCORE = ["query_id", "section", "doc_id", "skema"]
+#: A document's vector, where a null category is one of its own.
+KEYS = ["section", "doc_id", "category"]
 
 
 class TfidfIndex(NamedTuple):
-    postings: DataFrame
     idf: DataFrame
+    vectors: DataFrame
+    blocks: DataFrame
+    layers: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """One row per section, document and term."""
+        return self.blocks.select("section", "term", F.explode("entries").alias("e")).select("section", "term", "e.*")
 
 
 def term_counts(df: DataFrame, keys: list[str], stop_words: bool = True, stem: bool = True) -> DataFrame:
@@ -67,16 +94,34 @@ def with_idf(counts: DataFrame, idf: DataFrame, limit: int = BROADCAST_TERMS) ->
     return hot.unionByName(cold)
 
 
-def shard_count(df_col):
-    return F.ceil(df_col / F.lit(SHARD_ROWS)).cast("int")
+def layer_of(weight: Column) -> Column:
+    """Two layers per halving of the weight, from 0 for the heaviest."""
+    return F.floor(-2 * F.log2(F.greatest(F.round(weight, 6), F.lit(1e-6))) + 1e-6).cast("int")
 
 
-def normalised(counted: DataFrame) -> DataFrame:
-    """Postings with unit-length weights per section and document."""
-    norm = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).over(Window.partitionBy("section", "doc_id")))
-    return counted.select(
-        "section", "doc_id", "skema", "term", "tf", (F.col("tf") * F.col("idf") / norm).alias("w"),
-        F.pmod(F.xxhash64("doc_id"), shard_count(F.col("df"))).cast("int").alias("shard"),
+def document_vectors(counted: DataFrame) -> DataFrame:
+    """Terms of each section text with weights of unit length, from its counts with df and idf."""
+    keys = ["section", "doc_id", "skema"]
+    norm = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).over(Window.partitionBy(*keys)))
+    slices = F.ceil(F.col("df") / F.lit(SLICE_ROWS))
+    unit = counted.select(
+        *keys, "term", "tf", (F.col("tf") * F.col("idf") / norm).alias("w"), F.pmod(F.xxhash64("doc_id"), slices).cast("int").alias("slice")
+    )
+    return unit.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf", "w", "slice")).alias("terms"))
+
+
+def posting_blocks(vectors: DataFrame) -> DataFrame:
+    """Blocks (section, term, layer, slice) with their greatest weight. No group is longer than a slice is expected to be."""
+    rows = vectors.select("section", "doc_id", "skema", F.explode("terms").alias("e"))
+    entry = F.struct("doc_id", "skema", F.col("e.tf").alias("tf"), F.col("e.w").alias("w"))
+    return rows.groupBy("section", F.col("e.term").alias("term"), layer_of(F.col("e.w")).alias("layer"), F.col("e.slice").alias("slice")).agg(
+        F.max("e.w").alias("top"), F.collect_list(entry).alias("entries")
+    )
+
+
+def layer_table(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("section", "term", "layer").agg(
+        F.max("top").alias("top"), F.sum(F.size("entries")).cast("bigint").alias("n")
     )
 
 
@@ -85,29 +130,38 @@ def fit(sections: DataFrame, stop_words: bool = True, stem: bool = True) -> Tfid
     counts = runtime.written(term_counts(sections, ["section", "doc_id", "skema"], stop_words, stem), "term-counts")
     sizes = runtime.written(sections.groupBy("section").agg(F.count("*").alias("n")), "section-sizes")
     idf = runtime.written(smooth_idf(document_frequency(counts), sizes), "idf")
-    postings = runtime.written(normalised(with_idf(counts, idf)), "postings")
-    return TfidfIndex(postings, idf)
+    vectors = runtime.written(document_vectors(with_idf(counts, idf)), "vectors")
+    blocks = runtime.written(posting_blocks(vectors), "blocks")
+    return TfidfIndex(idf, vectors, blocks, runtime.written(layer_table(blocks), "layers"))
+
+
+_ORDER = {"idf": ["term"], "vectors": ["doc_id"], "blocks": ["term", "layer", "slice"], "layers": ["term", "layer"]}
 
 
 def save(index: TfidfIndex, path: str) -> None:
-    """Write the index laid out for look-ups: one folder per section, files sorted by term.
+    """Write the index laid out for look-ups: one folder per section, files sorted by term, vectors by document.
 
-    Ranges over term and document cut a long posting list into several files, and row-group statistics let a search
-    skip the files without its terms.
+    Ranges cut a long posting list into several files, and row-group statistics let a search skip the files without its
+    terms and layers.
     """
-    for name, table, extra in (("postings", index.postings, ["doc_id"]), ("idf", index.idf, [])):
-        order = ["section", "term", *extra]
-        table.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("section").parquet(
+    for name, order in _ORDER.items():
+        order = ["section", *order]
+        getattr(index, name).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("section").parquet(
             f"{path}/{name}"
         )
 
 
 def load(spark, path: str) -> TfidfIndex:
-    postings = spark.read.schema(
-        "doc_id bigint, skema string, term string, tf bigint, w double, shard int, section string"
-    ).parquet(f"{path}/postings")
-    idf = spark.read.schema("term string, df bigint, idf double, section string").parquet(f"{path}/idf")
-    return TfidfIndex(postings, idf)
+    schemas = {
+        "idf": "term string, df bigint, idf double",
+        "vectors": "doc_id bigint, skema string, terms array<struct<term: string, tf: bigint, w: double, slice: int>>",
+        "blocks": "term string, layer int, slice int, top double, "
+                  "entries array<struct<doc_id: bigint, skema: string, tf: bigint, w: double>>",
+        "layers": "term string, layer int, top double, n bigint",
+    }
+    return TfidfIndex(**{
+        name: spark.read.schema(f"{schemas[name]}, section string").parquet(f"{path}/{name}") for name in TfidfIndex._fields
+    })
 
 
 def transform(
@@ -124,39 +178,205 @@ def transform(
     )
 
 
+def query_blocks(weights: DataFrame, limit: int = runtime.BROADCAST_BYTES) -> Iterator[DataFrame]:
+    """Written query weights in parts that may be broadcast; the weights of one query stay together."""
+    size = runtime.measured_bytes(weights)
+    if size <= limit:
+        yield weights
+        return
+    parts = 2 * size // max(1, limit) + 1
+    for part in range(parts):
+        block = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        if not block.isEmpty():
+            yield block
+
+
+def _category() -> Column:
+    return F.concat_ws(":", F.col("skema").isNull().cast("string"), "skema")
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
+def join_postings(blocks: DataFrame, weights: DataFrame, products: int) -> DataFrame:
+    """Every wanted posting beside the weight of each query that wants it, in the task of its document.
+
+    `weights` (query_id, section, wanted_skema, term, qw, deepest layer wanted in `upto`) is broadcast. Blocks of other
+    terms and of deeper layers are left out before their postings are unpacked, postings of other categories before they
+    move, and each posting moves once, however many queries want it. `products` says how many tasks that takes.
+    """
+    any_skema = F.max(F.col("wanted_skema").isNull())
+    asked = F.collect_set("wanted_skema")
+    wanted = weights.groupBy("section", "term").agg(
+        F.max("upto").alias("deepest"), F.when(~any_skema & (F.size(asked) <= ASKED), asked).alias("asked")
+    )
+    tasks = max(weights.sparkSession.sparkContext.defaultParallelism, products // TASK_PRODUCTS + 1)
+    hits = blocks.join(F.broadcast(wanted), ["section", "term"]).where(F.col("layer") <= F.col("deepest"))
+    kept = F.filter("entries", lambda e: F.col("asked").isNull() | F.array_contains("asked", e["skema"]))
+    hits = hits.select("section", "term", "layer", F.explode(kept).alias("e")).select("section", "term", "layer", "e.doc_id", "e.skema", "e.w")
+    pairs = hits.repartition(tasks, "doc_id").join(F.broadcast(weights), ["section", "term"])
+    same = F.col("wanted_skema").isNull() | (F.col("wanted_skema") == F.col("skema"))
+    return pairs.where((F.col("layer") <= F.col("upto")) & same)
+
+
+def _weights(weights: DataFrame) -> DataFrame:
+    return runtime.written(weights.withColumnRenamed("skema", "wanted_skema"), "query-weights")
+
+
 def cosine(index: TfidfIndex, weights: DataFrame, limit: int = runtime.BROADCAST_BYTES) -> DataFrame:
     """Cosine of every query with every document of its section that shares a term (and the category, if asked).
 
-    With a small query side, only postings of wanted terms move, once, to the task of their document; multiplying and
-    summing then happens inside that task, and the document frequencies tell how many tasks that work needs.
-    Otherwise both sides meet per shard of a posting list.
+    Nothing can be left out here; see `scores_from` for scores above a bound.
     """
-    weights = runtime.written(weights.withColumnRenamed("skema", "wanted_skema"), "query-weights")
-    on = ["section", "term"]
-    if runtime.fits_broadcast(weights, limit):
-        products = weights.agg(F.sum("df")).first()[0] or 0
-        tasks = max(weights.sparkSession.sparkContext.defaultParallelism, products // TASK_PRODUCTS + 1)
-        # Postings of a category that nobody asks for with this term do not move.
-        wanted = weights.select(*(F.col(c).alias(f"q_{c}") for c in (*on, "wanted_skema"))).distinct()
-        same = (F.col("section") == F.col("q_section")) & (F.col("term") == F.col("q_term"))
-        asked = F.col("q_wanted_skema").isNull() | (F.col("q_wanted_skema") == F.col("skema"))
-        hits = index.postings.join(F.broadcast(wanted), same & asked, "left_semi").repartition(tasks, "doc_id")
-        pairs = hits.join(F.broadcast(weights.drop("df")), on)
-    else:
-        shards = F.explode(F.sequence(F.lit(0), shard_count(F.col("df")) - 1))
-        pairs = index.postings.join(weights.withColumn("shard", shards).drop("df"), [*on, "shard"])
-    pairs = pairs.where(F.col("wanted_skema").isNull() | (F.col("wanted_skema") == F.col("skema")))
-    return pairs.groupBy("query_id", "section", "doc_id", "skema").agg(
-        F.sum(F.col("w") * F.col("qw")).alias("similarity_score")
+    parts = []
+    for block in query_blocks(_weights(weights), limit):
+        parts.append(_all_products(index, block, block.agg(F.sum("df")).first()[0] or 0))
+    return _united(parts)
+
+
+def _all_products(index: TfidfIndex, block: DataFrame, products: int) -> DataFrame:
+    pairs = join_postings(index.blocks, block.drop("df").withColumn("upto", F.lit(1 << 30)), products)
+    return pairs.groupBy(*ROWS_OF_A_SCORE).agg(F.sum(F.col("w") * F.col("qw")).alias("similarity_score"))
+
+
+def choose_layers(layers: DataFrame, weights: DataFrame, needs: DataFrame) -> DataFrame:
+    """Per query and term: the deepest layer to read (`upto`), and the most that a posting left out can add (`rest`).
+
+    `needs` (query_id, section, need) is the score that matters from. Starting with the lightest layer of each term, layers
+    are left out in order of postings saved per score given away, until the scores given away come to `need`. Also returns
+    how many postings a term has (`n`), and how many of them are read (`n_read`).
+    """
+    on = ["query_id", "section"]
+    rows = layers.join(F.broadcast(weights), ["section", "term"]).withColumn("bound", F.col("qw") * F.col("top"))
+    upward = Window.partitionBy(*on, "term").orderBy(F.col("layer").desc())
+    rows = rows.withColumn("cost", F.col("bound") - F.coalesce(F.lag("bound").over(upward), F.lit(0.0)))
+    # A lighter layer can never be read without the heavier ones, so its rank is at least theirs.
+    rows = rows.withColumn("gain", F.min(F.col("n") / F.greatest("cost", F.lit(1e-12))).over(upward))
+    in_order = Window.partitionBy(*on).orderBy(F.col("gain").desc(), "term", F.col("layer").desc())
+    rows = rows.withColumn("given", F.sum("cost").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(F.broadcast(needs), on).withColumn("skipped", F.col("given") < F.col("need") - SLACK)
+    return rows.groupBy(*on, "wanted_skema", "term", "qw").agg(
+        F.coalesce(F.max(F.when(~F.col("skipped"), F.col("layer"))), F.lit(-1)).alias("upto"),
+        F.sum(F.when(F.col("skipped"), F.col("cost")).otherwise(0.0)).alias("rest"),
+        F.sum("n").alias("n"), F.sum(F.when(F.col("skipped"), 0).otherwise(F.col("n"))).alias("n_read"),
+    )
+
+
+def _kth(scored: DataFrame, k: int, score: str) -> DataFrame:
+    """The k-th greatest score per query and section, where there are k."""
+    first = top_k(scored, ["query_id", "section"], [F.col(score).desc()], k)
+    return first.groupBy("query_id", "section").agg(F.min(score).alias("kth"), F.count("*").alias("many")).where(F.col("many") == k).drop("many")
+
+
+def _needs(weights: DataFrame, cutoff: float, kth: DataFrame | None = None) -> DataFrame:
+    asked = weights.select("query_id", "section").distinct()
+    if kth is None:
+        return asked.withColumn("need", F.lit(float(cutoff)))
+    need = F.greatest(F.lit(float(cutoff)), F.coalesce(F.col("kth") - ROUNDING, F.lit(0.0)))
+    return asked.join(F.broadcast(kth), ["query_id", "section"], "left").select("query_id", "section", need.alias("need"))
+
+
+def _first_look(index: TfidfIndex, weights: DataFrame, k: int, limit: int) -> DataFrame:
+    """A lower bound of the k-th score per query and section.
+
+    The heaviest layers name documents; the best few of those by what these layers alone give are scored in full.
+    """
+    rows = index.layers.join(F.broadcast(weights), ["section", "term"])
+    heaviest = Window.partitionBy("query_id", "section").orderBy((F.col("qw") * F.col("top")).desc(), "term", "layer")
+    before = F.coalesce(F.sum("n").over(heaviest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = rows.withColumn("before", before).where(F.col("before") < LOOK_POSTINGS * k)
+    some = taken.groupBy("query_id", "section", "wanted_skema", "term", "qw").agg(F.max("layer").alias("upto"), F.sum("n").alias("n"))
+    some = runtime.written(some, "first-look")
+    pairs = join_postings(index.blocks, some.drop("n"), some.agg(F.sum("n")).first()[0] or 0)
+    partial = pairs.groupBy(*ROWS_OF_A_SCORE).agg(F.sum(F.col("w") * F.col("qw")).alias("partial"))
+    best = top_k(partial, ["query_id", "section"], [F.col("partial").desc(), F.col("doc_id")], LOOK_DOCUMENTS * k)
+    exact = _missing_parts(index, best, weights.withColumn("upto", F.lit(-1)), limit)
+    return runtime.written(_kth(exact, k, "missing"), "kth-scores")
+
+
+def _chosen(
+    index: TfidfIndex, weights: DataFrame, cutoff: float, k: int | None, spared: float, limit: int = runtime.BROADCAST_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """What to read for each query, and from which score on documents matter to it."""
+    kth = None if k is None else _first_look(index, weights, k, limit)
+    needs = runtime.written(_needs(weights, cutoff, kth), "needs")
+    budget = needs.withColumn("need", F.col("need") * spared)
+    return runtime.written(choose_layers(index.layers, weights, budget), "chosen-layers"), needs
+
+
+def postings_read(
+    index: TfidfIndex, weights: DataFrame, cutoff: float = 0.1, k: int | None = None, spared: float = SPARED
+) -> DataFrame:
+    """(query_id, section, n, n_read): postings of the query's terms, and those that an early stop multiplies."""
+    parts = [_chosen(index, block.drop("df"), cutoff, k, spared)[0] for block in query_blocks(_weights(weights))]
+    return _united(parts).groupBy("query_id", "section").agg(F.sum("n").alias("n"), F.sum("n_read").alias("n_read"))
+
+
+def scores_from(
+    index: TfidfIndex, weights: DataFrame, cutoff: float, k: int | None = None, limit: int = runtime.BROADCAST_BYTES,
+    stop_from: int = STOP_FROM, spared: float = SPARED,
+) -> DataFrame:
+    """Exact cosines of at least `cutoff`; with `k`, rows that cannot be among the first k of their query may be missing.
+
+    Queries that do not fit a broadcast are taken in blocks, one after the other; the index never moves as a whole. A
+    block whose terms have fewer than `stop_from` postings is multiplied in full, with the same result.
+    """
+    weights = _weights(weights)
+    parts = []
+    for block in query_blocks(weights, limit):
+        products = block.agg(F.sum("df")).first()[0] or 0
+        if products < stop_from:
+            parts.append(_all_products(index, block, products).where(F.col("similarity_score") >= cutoff))
+        else:
+            parts.append(_scores_of_block(index, block.drop("df"), cutoff, k, limit, spared))
+    return _united(parts)
+
+
+def _scores_of_block(index: TfidfIndex, weights: DataFrame, cutoff: float, k: int | None, limit: int, spared: float) -> DataFrame:
+    chosen, needs = _chosen(index, weights, cutoff, k, spared, limit)
+    on = ["query_id", "section"]
+    read = chosen.where(F.col("upto") >= 0)
+    pairs = join_postings(index.blocks, read.drop("n", "n_read"), read.agg(F.sum("n_read")).first()[0] or 0)
+    given = chosen.groupBy(*on).agg(F.sum("rest").alias("given")).join(F.broadcast(needs), on)
+    partial = pairs.groupBy(*ROWS_OF_A_SCORE).agg(
+        F.sum(F.col("w") * F.col("qw")).alias("partial"), F.sum("rest").alias("seen")
     )
+    open_part = F.greatest(F.col("given") - F.col("seen"), F.lit(0.0))
+    left = partial.join(F.broadcast(given), on).withColumn("open", open_part)
+    left = left.where(F.col("partial") + F.col("open") >= F.col("need") - SLACK).drop("given", "seen", "need")
+    left = runtime.written(left, "partial-scores")
+    rest = _missing_parts(index, left.where(F.col("open") > 0), chosen.where(F.col("rest") > 0), limit)
+    whole = left.withColumn("category", _category()).join(rest, ["query_id", *KEYS], "left")
+    score = F.col("partial") + F.coalesce("missing", F.lit(0.0))
+    return whole.select(*ROWS_OF_A_SCORE, score.alias("similarity_score")).where(F.col("similarity_score") >= cutoff)
+
+
+def _missing_parts(index: TfidfIndex, open_rows: DataFrame, skipped: DataFrame, limit: int) -> DataFrame:
+    """What layers deeper than `upto` of `skipped` add to the score of open rows, from the documents' vectors.
+
+    Vectors are fetched once per document, and of their terms only those go on that some query left out.
+    """
+    open_rows = runtime.written(open_rows.select("query_id", "section", "doc_id", _category().alias("category")), "open-scores")
+    documents = runtime.broadcast_if_small(open_rows.select(*KEYS).distinct(), limit)
+    found = index.vectors.withColumn("category", _category()).join(documents, KEYS, "left_semi")
+    terms = found.select(*KEYS, F.explode("terms").alias("e")).select(*KEYS, "e.term", "e.w", layer_of(F.col("e.w")).alias("layer"))
+    terms = terms.join(F.broadcast(skipped.select("section", "term").distinct()), ["section", "term"], "left_semi")
+    pairs = terms.join(runtime.broadcast_if_small(open_rows, limit), KEYS)
+    pairs = pairs.join(F.broadcast(skipped.select("query_id", "section", "term", "qw", "upto")), ["query_id", "section", "term"])
+    added = pairs.where(F.col("layer") > F.col("upto")).groupBy("query_id", *KEYS)
+    return added.agg(F.sum(F.col("w") * F.col("qw")).alias("missing"))
 
 
 def search(
     index: TfidfIndex, queries: DataFrame, k: int = 10, cutoff: float = 0.1, stop_words: bool = True,
-    stem: bool = True,
+    stem: bool = True, **sizes,
 ) -> DataFrame:
-    """Top k documents per (query_id, section) with a cosine of at least `cutoff`."""
-    scored = cosine(index, transform(index, queries, stop_words, stem)).where(F.col("similarity_score") >= cutoff)
+    """Top k documents per (query_id, section) with a cosine of at least `cutoff`, which must be positive to stop early."""
+    scored = scores_from(index, transform(index, queries, stop_words, stem), cutoff, k, **sizes)
     scored = scored.withColumn("similarity_score", F.round("similarity_score", 6))
     return top_k(scored, ["query_id", "section"], [F.col("similarity_score").desc(), F.col("doc_id")], k)
 

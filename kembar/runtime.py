@@ -84,12 +84,17 @@ def _cell_bytes(field: T.StructField):
     return F.lit(8)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether all of `df`, measured now, is below `limit` bytes."""
+def measured_bytes(df: DataFrame) -> int:
+    """About how much memory all of `df` takes, measured now."""
     row = F.lit(16)
     for field in df.schema:
         row = row + _cell_bytes(field)
-    return (df.agg(F.sum(row)).first()[0] or 0) <= limit
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all of `df`, measured now, is below `limit` bytes."""
+    return measured_bytes(df) <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

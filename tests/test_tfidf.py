@@ -74,18 +74,67 @@ def test_search_equals_plain_python(tables, corpus):
     assert len(got[1]) == 10 and not got[5] and not got[6]
 
 
-def test_sharded_join_equals_broadcast_join(tables, monkeypatch):
+def test_query_blocks_equal_one_broadcast(tables, monkeypatch):
     docs, queries, _ = tables
-    monkeypatch.setattr(tfidf, "SHARD_ROWS", 5)
+    monkeypatch.setattr(tfidf, "SLICE_ROWS", 5)
     index = tfidf.fit(docs, stop_words=False, stem=False)
-    assert index.postings.agg(F.max("shard")).first()[0] > 3
+    assert index.blocks.agg(F.max("slice")).first()[0] > 3
     weights = tfidf.transform(index, queries, stop_words=False, stem=False)
+    written = runtime.written(weights, "w")
+    assert len(list(tfidf.query_blocks(written, 400))) > 1
 
     def cells(limit):
         rows = tfidf.cosine(index, weights, limit).collect()
         return sorted((r.query_id, r.doc_id, round(r.similarity_score, 9)) for r in rows)
 
-    assert cells(0) == cells(runtime.BROADCAST_BYTES)
+    assert cells(400) == cells(runtime.BROADCAST_BYTES)
+    few = found(tfidf.search(index, queries, 10, stop_words=False, stem=False, limit=400))
+    assert few == found(tfidf.search(index, queries, 10, stop_words=False, stem=False))
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """One word is in all texts and queries, some words in half of them; texts are of very different length."""
+    rng = random.Random(11)
+    weights = [1 / (i + 1) for i in range(len(WORDS))]
+    rows = [(doc, f"s{doc % 4}" if doc % 9 else None, "judul", " ".join(["inti"] * rng.randint(1, 3) + rng.choices(WORDS, weights, k=rng.choice([1, 3, 9, 40]))))
+            for doc in range(400)]
+    asked = [(q, "judul", f"s{q % 4}" if q % 5 == 0 else None, " ".join(["inti"] + rng.choices(WORDS, k=rng.randint(1, 14)))) for q in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, skema string, section string, text string")
+    queries = spark.createDataFrame(asked, "query_id bigint, section string, skema string, text string")
+    return rows, asked, queries, tfidf.fit(docs, stop_words=False, stem=False)
+
+
+@pytest.mark.parametrize("cutoff, k, sizes", [
+    (0.1, 400, {"stop_from": 0}), (0.1, 5, {"stop_from": 0}), (0.6, 5, {}), (0.3, 1, {"stop_from": 0, "spared": 1.0}),
+    (0.3, 5, {"stop_from": 0, "limit": 8000}),
+])
+def test_early_stop_loses_nothing(skewed, cutoff, k, sizes):
+    rows, asked, queries, index = skewed
+    got = found(tfidf.search(index, queries, k, cutoff, False, False, **sizes))
+    for query, section, skema, text in asked:
+        assert got[query] == [(d, pytest.approx(s, abs=2e-6)) for d, s in plain_search(rows, section, text, k, skema, cutoff)]
+
+
+def test_early_stop_reads_fewer_postings(skewed):
+    _, _, queries, index = skewed
+    weights = tfidf.transform(index, queries, False, False)
+
+    def share(cutoff, **more):
+        total = tfidf.postings_read(index, weights, cutoff, **more).agg(F.sum("n_read") / F.sum("n")).first()[0]
+        return total
+
+    assert share(0.0) == 1.0
+    assert share(0.6) < share(0.3) < share(0.1) < 1.0
+    assert share(0.1, k=3) < share(0.1)
+
+
+def test_scores_from_a_bound_are_whole(skewed):
+    _, _, queries, index = skewed
+    weights = tfidf.transform(index, queries, False, False)
+    every = {(r.query_id, r.doc_id): r.similarity_score for r in tfidf.cosine(index, weights).collect()}
+    some = {(r.query_id, r.doc_id): r.similarity_score for r in tfidf.scores_from(index, weights, 0.25, stop_from=0).collect()}
+    assert some == {key: pytest.approx(s, abs=1e-12) for key, s in every.items() if s >= 0.25} and some
 
 
 def test_hot_and_cold_terms_get_the_same_idf(tables):
@@ -110,7 +159,7 @@ def test_saved_index_reads_back_the_same(spark, tables, tmp_path):
     tfidf.save(index, str(tmp_path / "index"))
     stored = tfidf.load(spark, str(tmp_path / "index"))
     assert found(tfidf.search(stored, queries)) == found(tfidf.search(index, queries))
-    plan = stored.postings.where("section = 'judul'")._jdf.queryExecution().executedPlan().toString()
+    plan = stored.blocks.where("section = 'judul'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(section" in plan
 
 
