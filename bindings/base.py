@@ -99,7 +99,7 @@ def centroids(spark, sf) -> DataFrame:
 _built: dict[tuple, object] = {}
 
 
-def _once(spark, sf, what: str, build):
+def once(spark, sf, what: str, build):
     """Indexes and points are tables: built once per session and folder, then read by every search."""
     key = (spark.sparkContext.applicationId, runtime.releases(spark), sf, what)
     if key not in _built:
@@ -108,22 +108,22 @@ def _once(spark, sf, what: str, build):
 
 
 def text_index(spark, sf) -> tfidf.TfidfIndex:
-    return _once(spark, sf, "text-index", lambda: tfidf.fit(whole_rows(spark, sf)))
+    return once(spark, sf, "text-index", lambda: tfidf.fit(whole_rows(spark, sf)))
 
 
 def section_index(spark, sf) -> tfidf.TfidfIndex:
-    return _once(spark, sf, "section-index", lambda: tfidf.fit(section_rows(spark, sf)))
+    return once(spark, sf, "section-index", lambda: tfidf.fit(section_rows(spark, sf)))
 
 
 def section_points(spark, sf) -> DataFrame:
-    return _once(spark, sf, "section-points", lambda: upload_points(proposals(spark, sf)))
+    return once(spark, sf, "section-points", lambda: upload_points(proposals(spark, sf)))
 
 
 def whole_points(spark, sf) -> DataFrame:
     def build():
         return upload_points(documents(spark, sf), sections=("text",))
 
-    return _once(spark, sf, "whole-points", build)
+    return once(spark, sf, "whole-points", build)
 
 
 # ---------------------------------------------------------------- SQL

@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from bindings.base import (
     Q_BATCH_ROWS, Q_CENTROIDS, Q_ITEMS, Q_PASSAGES, Q_POINTS, Q_PROPOSALS, Q_SECTION_ROWS, Q_WHOLE, Q_WHOLE_POINTS,
-    centroids, documents, items, passages, proposals, q_bags, q_dense, q_hits, q_ngrams, q_jaccard, q_strip, q_terms,
+    centroids, documents, items, once, passages, proposals, q_bags, q_dense, q_hits, q_ngrams, q_jaccard, q_strip, q_terms,
     q_tfidf, q_tokens, query, quoted, section_index, section_points, section_rows, text_index, vectors, whole_points, whole_rows,
 )
 from kembar import runtime
@@ -221,6 +221,32 @@ def topk_dense(spark, sf):
     return dense.nearest(vectors(spark, sf), centroids(spark, sf)).drop("section")
 
 
+def vector_index(spark, sf):
+    return once(spark, sf, "vector-index", lambda: dense.build_point_index(vectors(spark, sf)))
+
+
+@query("topk_dense_pruned", f"WITH {Q_CENTROIDS}, {Q_NEAR.format(where='true', k=10)} FROM near")
+def topk_dense_pruned(spark, sf):
+    """The same hits as `topk_dense`, from points stored in clusters; tiles that cannot matter are not read."""
+    return dense.nearest(vector_index(spark, sf), centroids(spark, sf)).drop("section")
+
+
+@query("join_dense_theta_pruned", f"""WITH {Q_CENTROIDS}
+    SELECT query_id::bigint AS query_id, vec_id AS doc_id,
+      round(list_cosine_similarity(embedding::double[], v), 6) AS similarity_score
+    FROM embeddings, centroids WHERE list_cosine_similarity(embedding::double[], v) > 0.4""")
+def join_dense_theta_pruned(spark, sf):
+    return dense.theta_join(vector_index(spark, sf), centroids(spark, sf), 0.4).drop("skema", "section")
+
+
+@query("dense_tiles_scored", """SELECT count(*) AS points, (SELECT count(DISTINCT label) FROM embeddings) * count(*) AS pairs,
+      true AS fewer FROM embeddings""")
+def dense_tiles_scored(spark, sf):
+    """Points, pairs of points and queries, and whether the search for the best ten scores fewer pairs."""
+    read = dense.tiles_scored(vector_index(spark, sf), centroids(spark, sf), 10)
+    return read.select("points", "pairs", (F.col("pairs_scored") < F.col("pairs")).alias("fewer"))
+
+
 @query("topk_dense_filtered", f"WITH {Q_CENTROIDS}, {Q_NEAR.format(where='label = (query_id + 1) % 10', k=10)} FROM near")
 def topk_dense_filtered(spark, sf):
     asking = centroids(spark, sf).withColumn("skema", ((F.col("query_id") + 1) % 10).cast("string"))

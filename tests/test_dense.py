@@ -57,7 +57,7 @@ def same(got, expected):
     assert [e[4] for e in expected] == [g[4] for g in got]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 4, "tile": 40}])
+@pytest.mark.parametrize("sizes", [{}, {"block": 5}, {"bytes_limit": 600}])
 def test_nearest_equals_brute_force(frames, points, queries, sizes):
     p, q = frames
     same(rows_of(dense.nearest(p, q, 7, **sizes)), plain(points, queries, 7))
@@ -65,13 +65,53 @@ def test_nearest_equals_brute_force(frames, points, queries, sizes):
     same(rows_of(dense.nearest(p, q, 200, cutoff=0.1, **sizes)), plain(points, queries, 200, lambda s: s > 0.1))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 4, "tile": 40}])
+@pytest.mark.parametrize("sizes", [{}, {"block": 5}])
 def test_theta_join_keeps_every_pair(frames, points, queries, sizes):
     p, q = frames
     got = sorted((r.query_id, r.doc_id, r.section) for r in dense.theta_join(p, q, **sizes).collect())
     assert got == sorted((h[0], h[2], h[3]) for h in plain(points, queries, 1000, lambda s: s > 0.1))
 
 
+@pytest.fixture(scope="module")
+def index(frames):
+    return dense.build_point_index(frames[0])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 5}])
+def test_pruned_search_equals_brute_force(index, frames, points, queries, sizes):
+    q = frames[1]
+    same(rows_of(dense.nearest(index, q, 7, **sizes)), plain(points, queries, 7))
+    same(rows_of(dense.nearest(index, q, 3, threshold=0.5, **sizes)), plain(points, queries, 3, lambda s: s >= 0.5))
+    got = sorted((r.query_id, r.doc_id, r.section) for r in dense.theta_join(index, q, **sizes).collect())
+    assert got == sorted((h[0], h[2], h[3]) for h in plain(points, queries, 1000, lambda s: s > 0.1))
+
+
+def test_clustered_points_leave_tiles_out(spark):
+    """Vectors around few directions, a third of them equal: most tiles are not read, and the result is exact."""
+    rng = np.random.default_rng(6)
+    heads = rng.standard_normal((12, 16))
+    rows = [(i, "s", "judul", heads[0].tolist() if i % 3 == 0 else (heads[i % 12] + 0.05 * rng.standard_normal(16)).tolist()) for i in range(900)]
+    asked = [(q, None, None, (heads[q] + 0.05 * rng.standard_normal(16)).tolist()) for q in range(1, 4)]
+    p = spark.createDataFrame(rows, "doc_id bigint, skema string, section string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id bigint, section string, skema string, embedding array<double>")
+    index = dense.build_point_index(p)
+    same(rows_of(dense.nearest(index, q, 5)), plain(rows, asked, 5))
+    read = dense.tiles_scored(index, q, 5).first()
+    assert read.points == 900 and read.pairs == 2700
+    assert read.tiles_read < read.tiles / 2 and read.pairs_scored < read.pairs / 3
+    assert dense.tiles_scored(index, q, bound=0.95).first().pairs_scored < read.pairs / 3
+
+
+def test_query_blocks_do_not_move_points(frames):
+    """Three blocks of queries: the points of each are scanned where they lie."""
+    p, q = frames
+    found = dense.score_points(p, q, 3, block=5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    one = dense.score_points(p, q, 3)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == p._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
 def test_small_chunks_give_the_same(frames, points, queries, monkeypatch):
     p, q = frames
     monkeypatch.setattr(dense, "CELLS", 30)
