@@ -14,7 +14,7 @@ from kembar.functions import pairs as p
 from kembar.functions import scores as s
 from kembar.functions import text as t
 from kembar.functions.vectors import encode
-from kembar.operators import dense, passages as g, segments as seg, summaries, tfidf, thresholds
+from kembar.operators import dense, edits, passages as g, segments as seg, spans, summaries, tfidf, thresholds
 from kembar.plans import detect as d
 
 def pair():
@@ -76,6 +76,26 @@ def matched_passages(spark, sf):
     return found.withColumns({c: F.col(c).cast("bigint") for c in ("first_sentence", "last_sentence")})
 
 
+Q_COMPARABLE = q_collapse("lower(coalesce(text, ''))")
+
+
+@query("matched_spans", f"""WITH qt AS (SELECT item_id AS query_id, {Q_COMPARABLE} AS x FROM benchmark), dt AS (SELECT doc_id, {Q_COMPARABLE} AS x FROM documents),
+    qg AS (SELECT query_id, qp, substr(x, qp::int + 1, 40) AS g FROM (SELECT query_id, x, unnest(range(0, length(x) - 39)) AS qp FROM qt)),
+    dg AS (SELECT doc_id, dp, substr(x, dp::int + 1, 40) AS g FROM (SELECT doc_id, x, unnest(range(0, length(x) - 39)) AS dp FROM dt)),
+    hits AS (SELECT query_id, doc_id, qp, dp, qp - row_number() OVER (PARTITION BY query_id, doc_id, qp - dp ORDER BY qp) AS run FROM qg JOIN dg USING (g)),
+    runs AS (SELECT query_id, doc_id, min(qp) AS s, max(qp) + 40 AS e, min(dp) AS d FROM hits GROUP BY query_id, doc_id, qp - dp, run),
+    once AS (SELECT query_id, doc_id, s, e, min(d) AS d FROM runs GROUP BY ALL)
+    SELECT query_id, doc_id, s::int AS query_start, e::int AS query_end, d::int AS doc_start FROM once a
+    WHERE NOT EXISTS (SELECT 1 FROM once b WHERE a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s)""")
+def matched_spans(spark, sf):
+    return spans.matched_spans(asked(spark, sf), documents(spark, sf))
+
+
+@query("similar_sentences")
+def similar_sentences(spark, sf):
+    return edits.similar_sentences(asked(spark, sf), documents(spark, sf))
+
+
 @query("drop_citations", f"""WITH ds AS ({q_sentence_rows('documents', 'doc_id')}), qs AS ({q_sentence_rows('(SELECT item_id AS query_id, text FROM benchmark)', 'query_id')})
     SELECT doc_id, pos, sentence FROM ds WHERE sentence_md5 NOT IN (SELECT sentence_md5 FROM qs)""")
 def drop_citations(spark, sf):

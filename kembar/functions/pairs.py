@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kembar.functions import text as t
+from kembar.functions.lcs import indel_ratios
 
 
 def _set_score(a: Column, b: Column, score) -> Column:
@@ -51,32 +52,10 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
     return F.round(set_overlap(word_set(a), word_set(b)), 4)
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence: a step per sign of the shorter text, a bit per sign of the longer."""
-    if len(a) < len(b):
-        a, b = b, a
-    places: dict[str, int] = {}
-    for i, sign in enumerate(a):
-        places[sign] = places.get(sign, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    open_bits = full
-    for sign in b:
-        hit = open_bits & places.get(sign, 0)
-        if hit:
-            open_bits = ((open_bits + hit) | (open_bits - hit)) & full
-    return len(a) - open_bits.bit_count()
-
-
-def indel_ratio(a: str | None, b: str | None) -> float:
-    if not a or not b:
-        return 0.0
-    return 2.0 * common_subsequence(a, b) / (len(a) + len(b))
-
-
 @F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit ratio where a replacement counts as two edits. Costly on long texts: meant for top-k survivors."""
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(indel_ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kembar import runtime
 from kembar.functions import text as t
+from kembar.operators.hot import dealt_join
 
 
 def ngram_rows(df: DataFrame, keys: list[str], text_col: str = "text", n: int = 3) -> DataFrame:
@@ -17,11 +18,12 @@ def ngram_rows(df: DataFrame, keys: list[str], text_col: str = "text", n: int =
     )
 
 
-def shared_ngrams(queries: DataFrame, documents: DataFrame, n: int = 3) -> DataFrame:
+def shared_ngrams(queries: DataFrame, documents: DataFrame, n: int = 3, limit: int = runtime.BROADCAST_BYTES) -> DataFrame:
     """(query_id, doc_id, shared, query_size, doc_size) for each pair that shares an n-gram.
 
     Each document's n-grams are matched and summed in the task that made them: when the queries are small they are
-    broadcast, so only pair counts are shuffled.
+    broadcast, so only pair counts are shuffled. Otherwise both sides meet by n-gram, and an n-gram that very many
+    documents hold is dealt out.
     """
     wanted = runtime.written(
         ngram_rows(queries, ["query_id"], "text", n).withColumn(
@@ -31,10 +33,11 @@ def shared_ngrams(queries: DataFrame, documents: DataFrame, n: int = 3) -> DataF
     )
     grams = documents.select("doc_id", t.word_ngrams(F.col("text"), n).alias("grams"))
     rows = grams.select("doc_id", F.size("grams").alias("doc_size"), F.explode_outer("grams").alias("ngram"))
-    if runtime.fits_broadcast(wanted):
+    if runtime.fits_broadcast(wanted, limit):
         joined = rows.join(F.broadcast(wanted), "ngram")
     else:
-        joined = rows.join(wanted, "ngram")
+        rows = runtime.written(rows.where(F.col("ngram").isNotNull()), "document-ngrams")
+        joined = dealt_join(rows, wanted, "ngram", "doc_id")
     return joined.groupBy("query_id", "doc_id", "query_size", "doc_size").agg(F.count("*").alias("shared"))
 
 
@@ -75,6 +78,7 @@ def drop_boilerplate(grams: DataFrame, max_documents: int) -> DataFrame:
     The n-grams dropped are found by a count that folds map-side; there are at most rows / max_documents of them.
     """
     common = grams.groupBy("ngram").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("ngram")
+    common = runtime.written(common, "common-ngrams")  # counted once, however it is joined
     return grams.join(runtime.broadcast_if_small(common), "ngram", "left_anti")
 
 

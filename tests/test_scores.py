@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kembar.functions import pairs as p
+from kembar.functions.lcs import common_subsequence
 from kembar.functions import scores as s
 from kembar.operators import summaries, thresholds
 
@@ -100,7 +101,7 @@ def plain_lcs(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.text("abcé ", max_size=90), st.text("abcé ", max_size=90))
 def test_common_subsequence_equals_dynamic_programming(a, b):
-    assert p.common_subsequence(a, b) == plain_lcs(a, b)
+    assert common_subsequence(a, b) == plain_lcs(a, b)
 
 
 def test_pair_functions(spark):
