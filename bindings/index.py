@@ -348,4 +348,14 @@ def join_skema_fallback(spark, sf):
 
 @query("ann_candidates")
 def ann_candidates(spark, sf):
-    return neighbours.ann_candidates(vectors(spark, sf), centroids(spark, sf), 64)
+    forest = once(spark, sf, "vector-forest", lambda: neighbours.build_forest(vectors(spark, sf), 64))
+    return neighbours.ann_candidates(forest, centroids(spark, sf), 64)
+
+
+@query("ann_forest", """SELECT count(*) * 16 AS entries, ceil(count(*) * 16 / 256)::bigint AS pages, least(256, count(*) * 16)::bigint AS longest FROM embeddings""")
+def ann_forest(spark, sf):
+    """Every vector is in every tree, and no page is longer than the others."""
+    forest = once(spark, sf, "vector-forest", lambda: neighbours.build_forest(vectors(spark, sf), 64))
+    return forest.pages.agg(
+        F.sum(F.size("entries")).alias("entries"), F.count("*").alias("pages"), F.max(F.size("entries")).cast("bigint").alias("longest")
+    )

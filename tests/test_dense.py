@@ -166,9 +166,35 @@ def test_cache(spark):
     assert cache.embedding_cache_refresh(texts, known.unionByName(fresh)).count() == 0
 
 
-def test_approximate_search_finds_most_of_the_exact(frames):
-    p, q = frames
-    exact = {(r.query_id, r.doc_id, r.section) for r in dense.nearest(p, q.where("section is null and skema is null"), 5).collect()}
-    plain_q = q.where("section is null and skema is null").select("query_id", "embedding")
-    near = {(r.query_id, r.doc_id, r.section) for r in neighbours.ann_candidates(p, plain_q, 4, 5, tables=12, bits=3).collect()}
-    assert len(exact & near) / len(exact) > 0.5
+def test_forest_finds_nine_tenths_of_the_exact(spark):
+    """Vectors around many directions, a third of them equal; a query reads a small part of each tree."""
+    rng = np.random.default_rng(12)
+    heads = rng.standard_normal((60, 24))
+    rows = [(i, "s", "judul", (heads[0] if i % 3 == 0 else heads[i % 60] + 0.4 * rng.standard_normal(24)).tolist()) for i in range(3000)]
+    asked = [(q, (heads[q] + 0.4 * rng.standard_normal(24)).tolist()) for q in range(1, 31)]
+    p = spark.createDataFrame(rows, "doc_id bigint, skema string, section string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id bigint, embedding array<double>")
+    forest = neighbours.build_forest(p, 24, page=16)
+    assert forest.pages.agg(F.max(F.size("entries"))).first()[0] == 16
+    assert forest.pages.agg(F.sum(F.size("entries"))).first()[0] == 3000 * neighbours.TREES
+    near = {(r.query_id, r.doc_id) for r in neighbours.ann_candidates(forest, q, 24, 10).collect()}
+    both = q.selectExpr("query_id", "cast(null as string) AS section", "cast(null as string) AS skema", "embedding")
+    exact = {(r.query_id, r.doc_id) for r in dense.nearest(p, both, 10).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    blocks = {(r.query_id, r.doc_id) for r in neighbours.ann_candidates(forest, q, 24, 10, block=12).collect()}
+    assert blocks == near
+    assert neighbours.ann_candidates(forest, q.where("false"), 24).count() == 0
+
+
+def test_places_of_queries_in_a_forest(spark):
+    """Each query's page is the last that starts at or before it, found by looking at all pages."""
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(i, "s", "judul", rng.standard_normal(6).tolist()) for i in range(200)], "doc_id bigint, skema string, section string, embedding array<float>")
+    forest = neighbours.build_forest(p, 6, trees=3, page=7)
+    vectors = rng.standard_normal((9, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "query_id bigint, embedding array<double>").toArrow()
+    heads = sorted((r.page, r.tree, r.signature) for r in forest.pages.collect())
+    signatures = neighbours.signature_numbers(vectors, neighbours._planes(6, 3, 7), 3)
+    expected = {(q, t): max((page for page, tree, head in heads if (tree, head) <= (t, signatures[q, t])), default=None) for q in range(9) for t in range(3)}
+    got = {(r.query, r.tree): r.page for r in neighbours._places(forest, table).collect()}
+    assert got == {key: page for key, page in expected.items() if page is not None}
