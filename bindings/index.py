@@ -296,14 +296,43 @@ def q_bulk_dense(k, cutoff):
       FROM (SELECT * EXCLUDE rank FROM near) QUALIFY rank <= {k})"""
 
 
-@query("search_bulk_dense", f"WITH {q_bulk_dense(5, 'score > -2')} FROM bulk")
+@query("search_bulk_dense", f"""WITH {q_bulk_dense(5, 'score > -2')}
+    SELECT bulk.*, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS text_preview, text AS matched_text
+    FROM bulk JOIN (SELECT doc_id, section, text FROM points) USING (doc_id, section)""")
 def search_bulk_dense(spark, sf):
     return search.search_bulk_dense(section_points(spark, sf), items(spark, sf))
 
 
+def requests(queries):
+    """Queries with their own k of 1, 5 or 10 and their own threshold, some without one."""
+    kind = F.col("query_id") % 3
+    return queries.withColumns({
+        "k": F.when(kind == 0, 1).when(kind == 1, 5).otherwise(10),
+        "threshold": F.when(kind == 0, 0.15).when(kind == 1, 0.2).otherwise(F.lit(None).cast("double")),
+    })
+
+
+Q_OWN = "rank <= CASE query_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 10 END AND {score} >= CASE query_id % 3 WHEN 0 THEN 0.15 WHEN 1 THEN 0.2 ELSE {default} END"
+
+
+@query("search_tfidf_requests", f"WITH {SEARCH}, {q_hits(10)} SELECT query_id, doc_id, skema, similarity_score, rank FROM hits WHERE {Q_OWN.format(score='similarity_score', default='0.1')}")
+def search_tfidf_requests(spark, sf):
+    """One batch in which every request has its own k and threshold."""
+    return tfidf.search_requests(text_index(spark, sf), requests(passages(spark, sf))).drop("section")
+
+
+@query("search_dense_requests", f"""WITH {Q_WHOLE_POINTS}, {Q_PASSAGES},
+    asked AS (SELECT * FROM passages WHERE length({q_strip('text')}) >= 3), {q_dense('points', 'asked', False, 10)}
+    SELECT query_id, rank, doc_id, skema, section, similarity_score FROM near WHERE {Q_OWN.format(score='similarity_score', default='-2')}""")
+def search_dense_requests(spark, sf):
+    found = search.search_dense(whole_points(spark, sf), requests(passages(spark, sf)))
+    return found.drop("text_preview", "matched_text")
+
+
 @query("rerank_bulk", f"WITH {q_bulk_dense(1, 'score > 0.1')} FROM bulk")
 def rerank_bulk(spark, sf):
-    return search.search_bulk_dense(section_points(spark, sf), items(spark, sf), k=1, cutoff=0.1)
+    found = search.search_bulk_dense(section_points(spark, sf), items(spark, sf), k=1, cutoff=0.1)
+    return found.drop("text_preview", "matched_text")
 
 
 @query("results_to_json", f"""WITH {q_bulk_dense(5, 'score > 0.1')}
@@ -327,22 +356,20 @@ def agg_columns_searched(spark, sf):
 
 @query("union_sections", f"""WITH {Q_SECTION_ROWS} SELECT doc_id, section, length(text) AS n_chars FROM section_rows WHERE text IS NOT NULL""")
 def union_sections(spark, sf):
-    base = proposals(spark, sf)
-    frames = [
-        base.select("doc_id", F.lit(name).alias("section"), F.length(name).cast("bigint").alias("n_chars"))
-        for name in rows.SECTIONS
-    ]
-    return rows.union_sections(frames).where(F.col("n_chars").isNotNull())
+    """All sections from one scan: an unpivot, not a union of six."""
+    return section_rows(spark, sf).where(F.col("text").isNotNull()).select(
+        "doc_id", "section", F.length("text").cast("bigint").alias("n_chars")
+    )
 
 
 @query("join_skema_fallback", f"""WITH {Q_POINTS}, {Q_ITEMS.replace("item_id % 20", "item_id % 25")},
-    bq AS (SELECT query_index, skema, 'judul' AS section FROM items UNION ALL SELECT query_index, skema, 'solusi' FROM items),
+    bq AS (SELECT query_index, skema, unnest([{quoted(rows.SECTIONS)}]) AS section FROM items),
     known AS (SELECT DISTINCT skema, section FROM points)
     SELECT query_index, q.section, q.skema AS search_skema, k.skema, q.skema IS NOT NULL AND k.skema IS NULL AS fallback_used
     FROM bq q LEFT JOIN known k ON q.skema = k.skema AND q.section = k.section""")
 def join_skema_fallback(spark, sf):
     wider = F.when(F.col("query_index") % 3 == 0, F.concat(F.lit("src"), (F.col("query_index") % 25).cast("string")))
-    asked = items(spark, sf).select("query_index", wider.alias("skema"), F.explode(F.array(F.lit("judul"), F.lit("solusi"))).alias("section"))
+    asked = items(spark, sf).select("query_index", wider.alias("skema"), F.explode(F.array(*map(F.lit, rows.SECTIONS))).alias("section"))
     return d.join_skema_fallback(asked, section_points(spark, sf))
 
 

@@ -120,11 +120,8 @@ def overlap_coefficient(spark, sf):
 @query("set_intersect_union", f"""WITH {Q_WORDSETS}
     SELECT doc_id, len(list_intersect(x, y)) AS n_shared, len(list_distinct(list_concat(x, y))) AS n_joint FROM ws""")
 def set_intersect_union(spark, sf):
-    sets = text_pairs(spark, sf).select("doc_id", p.word_set(F.col("a")).alias("x"), p.word_set(F.col("b")).alias("y"))
-    return sets.select(
-        "doc_id", F.size(F.array_intersect("x", "y")).cast("bigint").alias("n_shared"),
-        F.size(F.array_union("x", "y")).cast("bigint").alias("n_joint"),
-    )
+    sets = text_pairs(spark, sf).select("doc_id", p.set_counts(p.word_set(F.col("a")), p.word_set(F.col("b"))).alias("n"))
+    return sets.select("doc_id", "n.*")
 
 
 @query("fuzzy_ratio")
@@ -132,11 +129,6 @@ def fuzzy_ratio(spark, sf):
     return text_pairs(spark, sf).select("doc_id", F.round(p.fuzzy_ratio(*pair()), 6).alias("fuzzy_score"))
 
 
-@query("lexical_metrics")
-def lexical_metrics(spark, sf):
-    return p.lexical_metrics(text_pairs(spark, sf), "a", "b").select("doc_id", "lexical.*")
-
-
 def q_unstopped_set(x):
     return f"list_distinct({q_unstopped(q_words(q_spacing(x)))})"
 

@@ -26,8 +26,8 @@ def src_proposals(spark, sf):
 @query("src_metadata", "SELECT doc_id, source AS skema FROM documents")
 def src_metadata(spark, sf):
     path = runtime.table_path(spark, "metadata-csv")
-    src.metadata(proposals(spark, sf)).write.csv(path, header=True)
-    return spark.read.schema("doc_id bigint, skema string").csv(path, header=True)
+    src.write_metadata(proposals(spark, sf), path)
+    return src.read_metadata(spark, path)
 
 
 @query("sink_tfidf_index", f"""WITH {Q_SECTION_ROWS}, {q_tfidf('section_rows')}
@@ -164,7 +164,7 @@ def filter_query_text(spark, sf):
 @query("filter_section_skema", f"""WITH {Q_SECTION_ROWS}
     SELECT doc_id, text FROM section_rows WHERE section = 'metode' AND skema = 'src7'""")
 def filter_section_skema(spark, sf):
-    return rows.filter_section_skema(section_rows(spark, sf), "metode", "src7").select("doc_id", "text")
+    return rows.section_rows(proposals(spark, sf), "metode", "src7").select("doc_id", "text")
 
 
 @query("fill_missing_text", f"""WITH {Q_SECTION_ROWS} SELECT doc_id, section, coalesce(text, '') AS text FROM section_rows""")

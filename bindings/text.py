@@ -55,9 +55,9 @@ def word_ngrams(spark, sf):
 @query("char_ngrams", f"""WITH flat AS (SELECT doc_id, {q_collapse("lower(text)")} AS s FROM documents),
     grams AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g
       FROM (SELECT doc_id, string_split(s, '') AS c FROM flat))
-    SELECT doc_id, count(DISTINCT g) AS n_grams FROM flat LEFT JOIN grams USING (doc_id) GROUP BY doc_id""")
+    SELECT DISTINCT doc_id, g AS gram FROM grams""")
 def char_ngrams(spark, sf):
-    return documents(spark, sf).select("doc_id", F.size(t.char_ngrams(F.col("text"))).cast("bigint").alias("n_grams"))
+    return documents(spark, sf).select("doc_id", F.explode(t.char_ngrams(F.col("text"))).alias("gram"))
 
 
 @query("phrase_overlap", f"""WITH {Q_PAIRS}

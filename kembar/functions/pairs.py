@@ -44,6 +44,14 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(t.split_words(text))
 
 
+def set_counts(a: Column, b: Column) -> Column:
+    """How many elements two distinct arrays share, and how many they have together."""
+    both = t.let(F.struct(a.alias("a"), b.alias("b")), lambda z: F.struct(
+        F.size(z["a"]).alias("a"), F.size(z["b"]).alias("b"), F.size(F.array_intersect(z["a"], z["b"])).alias("both")))
+    return t.let(both, lambda n: F.struct(
+        n["both"].cast("bigint").alias("n_shared"), (n["a"] + n["b"] - n["both"]).cast("bigint").alias("n_joint")))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     return F.round(set_jaccard(word_set(a), word_set(b)), 4)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kembar import runtime
 from kembar.functions import text as t
 from kembar.functions.lists import COMMON_QUERIES
 from kembar.schema import SECTIONS, section_order
@@ -18,6 +19,13 @@ def unpivot_sections(df: DataFrame, sections=SECTIONS, ids=("doc_id", "skema"))
     return df.unpivot(list(ids), list(sections), "section", "text")
 
 
+def section_rows(df: DataFrame, section: str, skema: str | None = None, ids=("doc_id", "skema")) -> DataFrame:
+    """One section of wide proposals as rows, of one category if given: only its column is read, nothing is unpivoted."""
+    if skema is not None:
+        df = df.where(F.col("skema") == skema)
+    return df.select(*ids, F.lit(section).alias("section"), F.col(section).alias("text"))
+
+
 def filter_min_chars(df: DataFrame, col: str = "text", more_than: int = 10) -> DataFrame:
     return df.where(F.length(t.strip(F.col(col))) > more_than)
 
@@ -52,6 +60,32 @@ def project_match(df: DataFrame, text_col: str = "matched_text", length: int = 5
     return df.withColumn(text_col, t.preview(F.col(text_col), length, dots))
 
 
+def own_limits(
+    df: DataFrame, requests: DataFrame, k: int, bound: float | None = None, key: str = "query_id", score: str = "similarity_score"
+) -> DataFrame:
+    """Ranked rows within the `k` and `threshold` of their own request; where a request has none, `k` and `bound` hold.
+
+    `df` has a `rank` and at least as many rows per request as it may keep. `requests` has one row per key.
+    """
+    own_k = F.coalesce("k", F.lit(k)) if "k" in requests.columns else F.lit(k)
+    own_bound = F.coalesce("threshold", F.lit(bound)) if "threshold" in requests.columns else F.lit(bound)
+    limits = requests.select(key, own_k.alias("__k"), own_bound.cast("double").alias("__bound"))
+    joined = df.join(runtime.broadcast_if_small(limits), key)
+    kept = (F.col("rank") <= F.col("__k")) & (F.col("__bound").isNull() | (F.col(score) >= F.col("__bound")))
+    return joined.where(kept).drop("__k", "__bound")
+
+
+def widest_limits(requests: DataFrame, k: int, bound: float | None = None) -> tuple[int, float | None]:
+    """The greatest k and the least bound that any request asks for: what one search for all of them needs."""
+    most = F.max(F.coalesce("k", F.lit(k))) if "k" in requests.columns else F.lit(k)
+    least = F.lit(bound)
+    if "threshold" in requests.columns:
+        least = F.min(F.coalesce("threshold", F.lit(float("-inf") if bound is None else bound)))
+    found = requests.agg(most.alias("k"), least.cast("double").alias("bound")).first()
+    none = found["bound"] is None or found["bound"] == float("-inf")
+    return found["k"] or k, bound if none else found["bound"]
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """The first k rows of each key. Spark cuts to k rows per task before the shuffle, so hot keys stay small."""
     window = Window.partitionBy(*keys).orderBy(*order)

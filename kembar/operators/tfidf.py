@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from kembar import runtime
 from kembar.functions import text as t
-from kembar.operators.rows import top_k
+from kembar.operators.rows import own_limits, top_k, widest_limits
 
 #: Postings of a term per slice; a block holds one layer of one slice.
 SLICE_ROWS = 4096
@@ -381,6 +381,18 @@ def search(
     return top_k(scored, ["query_id", "section"], [F.col("similarity_score").desc(), F.col("doc_id")], k)
 
 
+def search_requests(
+    index: TfidfIndex, requests: DataFrame, k: int = 10, cutoff: float = 0.1, stop_words: bool = True, stem: bool = True, **sizes
+) -> DataFrame:
+    """A search in which each query may have its own `k` and `threshold`; nulls mean the given ones.
+
+    One search with the widest limits answers all requests, and each then keeps what it asked for.
+    """
+    most, least = widest_limits(requests, k, cutoff)
+    found = search(index, requests.drop("k", "threshold"), most, least, stop_words, stem, **sizes)
+    return own_limits(found, requests.select(*[c for c in ("query_id", "k", "threshold") if c in requests.columns]).distinct(), k, cutoff)
+
+
 def pair_cosine(pairs: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """TF-IDF cosine where each pair of texts is a corpus of its own (n = 2)."""
     sides = pairs.select(key, F.lit(0).alias("side"), F.col(a).alias("text")).unionByName(

@@ -13,7 +13,7 @@ from kembar.functions.vectors import HashedEncoder, dense_cosine, encode
 from kembar.operators import tfidf
 from kembar.operators.dense import nearest
 from kembar.operators.passages import pair_ngram_jaccard
-from kembar.operators.rows import filter_query_text, rerank_bulk
+from kembar.operators.rows import filter_query_text, own_limits, rerank_bulk, widest_limits
 from kembar.operators.summaries import batch_rows
 from kembar.schema import SECTIONS, section_order
 
@@ -95,10 +95,18 @@ def search_dense(
     points: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, cutoff: float | None = None,
     encoder=None, **sizes,
 ) -> DataFrame:
-    """Top k nearest points of `queries` (query_id, section, skema, text or embedding), with their texts."""
+    """Top k nearest points of `queries` (query_id, section, skema, text or embedding), with their texts.
+
+    A query may have a `k` and a `threshold` of its own; where it has none, the given ones hold.
+    """
+    requests = queries.select(*[c for c in ("query_id", "k", "threshold") if c in queries.columns]).distinct()
     if "embedding" not in queries.columns:
         queries = encode(filter_query_text(queries), "text", encoder)
-    hits = nearest(points, queries, k, threshold, cutoff, **sizes)
+    if len(requests.columns) == 1:
+        hits = nearest(points, queries, k, threshold, cutoff, **sizes)
+    else:
+        most, least = widest_limits(requests, k, threshold)
+        hits = own_limits(nearest(points, queries, most, least, cutoff, **sizes), requests, k, threshold)
     if "text" not in points.columns:
         return hits
     full = join_matched_text(runtime.written(hits, "dense-hits"), points)
@@ -129,8 +137,13 @@ def search_bulk_dense(
     points: DataFrame, items: DataFrame, k: int = 5, threshold: float | None = None, cutoff: float | None = None,
     encoder=None, **sizes,
 ) -> DataFrame:
-    """Best k per batch item over its sections by cosine."""
+    """Best k per batch item over its sections by cosine, with their texts where the points have them."""
     queries = encode(filter_query_text(bulk_queries(items)), "text", encoder or HashedEncoder())
     found = nearest(points, queries, k, threshold, cutoff, **sizes)
     found = found.withColumn("query_index", F.floor(F.col("query_id") / (len(SECTIONS) + 1)).cast("bigint"))
-    return rerank_bulk(found.drop("query_id"), k)
+    best = rerank_bulk(found.drop("query_id"), k)
+    if "text" not in points.columns:
+        return best
+    best = runtime.written(best.withColumnRenamed("query_index", "query_id"), "bulk-hits")
+    full = join_matched_text(best, points).withColumnRenamed("query_id", "query_index")
+    return full.withColumn("text_preview", t.preview(F.col("matched_text")))

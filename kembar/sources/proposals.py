@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from kembar import runtime
 from kembar.functions.vectors import encode
 from kembar.operators.rows import filter_min_chars, filter_nonblank, unpivot_sections
-from kembar.schema import PROPOSAL, SECTIONS, section_order
+from kembar.schema import METADATA, PROPOSAL, SECTIONS, section_order
 
 CSV = dict(
     header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
@@ -38,6 +38,16 @@ def metadata(proposals: DataFrame) -> DataFrame:
     return proposals.select("doc_id", "skema")
 
 
+def write_metadata(proposals: DataFrame, path: str) -> None:
+    """Ids and categories of proposals as CSV with a header."""
+    metadata(proposals).write.csv(path, **CSV)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_metadata` wrote, or any CSV with an id and a category in this order."""
+    return spark.read.schema(METADATA).csv(path, **CSV)
+
+
 def sections_from_lines(df: DataFrame, text_col: str, ids: list[str], sections=SECTIONS) -> DataFrame:
     """Cut a text into sections: one line each, and all further lines for the last one."""
     last = len(sections)
