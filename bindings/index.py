@@ -15,8 +15,12 @@ from kembar.functions.vectors import dense_cosine as cosine_of
 from kembar.operators import dense, neighbours, rows, summaries, tfidf
 from kembar.plans import detect as d
 from kembar.plans import search
+from kembar.sources.batches import bulk_response as to_bulk_response
+from kembar.sources.batches import parse_query_batch
 from kembar.sources.batches import results_to_json as to_response
 
+#: Of four shapes of batch elements, two are objects.
+Q_GOOD_ITEMS = f"{Q_ITEMS[:-1]} WHERE query_index % 4 < 2)"
 SEARCH = f"{Q_WHOLE}, {Q_PASSAGES}, {q_tfidf('corpus', 'passages')}"
 
 
@@ -331,8 +335,7 @@ def search_dense_requests(spark, sf):
 
 @query("rerank_bulk", f"WITH {q_bulk_dense(1, 'score > 0.1')} FROM bulk")
 def rerank_bulk(spark, sf):
-    found = search.search_bulk_dense(section_points(spark, sf), items(spark, sf), k=1, cutoff=0.1)
-    return found.drop("text_preview", "matched_text")
+    return search.search_bulk_dense(section_points(spark, sf), items(spark, sf), k=1, cutoff=0.1, texts=False)
 
 
 @query("results_to_json", f"""WITH {q_bulk_dense(5, 'score > 0.1')}
@@ -341,7 +344,26 @@ def rerank_bulk(spark, sf):
     FROM (SELECT query_index FROM items) LEFT JOIN bulk USING (query_index) GROUP BY query_index""")
 def results_to_json(spark, sf):
     batch = items(spark, sf)
-    return to_response(search.search_bulk_dense(section_points(spark, sf), batch, cutoff=0.1), items=batch)
+    return to_response(search.search_bulk_dense(section_points(spark, sf), batch, cutoff=0.1, texts=False), items=batch)
+
+
+@query("bulk_response", f"""WITH {q_bulk_dense(5, 'score > 0.1').replace(Q_ITEMS, Q_GOOD_ITEMS)},
+    found AS (SELECT query_index, list({{'doc_id': doc_id, 'skema': skema, 'section': section, 'similarity_score': similarity_score}} ORDER BY rank) AS results FROM bulk GROUP BY ALL),
+    looked AS (SELECT query_index, list(section ORDER BY section_order) AS sections FROM batch_rows GROUP BY ALL)
+    SELECT query_index, to_json({{'query_index': query_index, 'results': coalesce(results, []), 'query_info': {{'skema_filter': skema,
+      'columns_searched': coalesce(sections, []), 'total_results': coalesce(len(results), 0)}}}})::varchar AS response
+    FROM items LEFT JOIN found USING (query_index) LEFT JOIN looked USING (query_index)
+    UNION ALL SELECT item_id, to_json({{'query_index': item_id, 'error': CASE item_id % 4 WHEN 2
+      THEN 'Invalid list format: ' || to_json([string_split(text, chr(10))[1]])::varchar ELSE 'Expected dict but got str: "item ' || item_id || '"' END}})::varchar
+    FROM benchmark WHERE item_id % 4 >= 2""")
+def bulk_response(spark, sf):
+    """A whole response: results and what was searched for good elements, an error in place for each other one."""
+    from bindings.tables import elements
+
+    good, bad = parse_query_batch(elements(spark, sf))
+    good, bad = runtime.written(good, "good-items"), runtime.written(bad, "bad-items")
+    found = search.search_bulk_dense(section_points(spark, sf), good, cutoff=0.1, texts=False)
+    return to_bulk_response(good, bad, found)
 
 
 @query("agg_columns_searched", f"""WITH {q_bulk_dense(5, 'score > -2')}
@@ -350,7 +372,7 @@ def results_to_json(spark, sf):
     FROM (SELECT query_index FROM items) LEFT JOIN batch_rows USING (query_index) LEFT JOIN (SELECT query_index, count(*) AS n FROM bulk GROUP BY ALL) USING (query_index) GROUP BY query_index""")
 def agg_columns_searched(spark, sf):
     batch = items(spark, sf)
-    found = search.search_bulk_dense(section_points(spark, sf), batch)
+    found = search.search_bulk_dense(section_points(spark, sf), batch, texts=False)
     return summaries.agg_columns_searched(summaries.batch_rows(batch), found, items=batch).withColumn("columns_searched", F.array_join("columns_searched", ","))
 
 

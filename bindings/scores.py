@@ -328,7 +328,7 @@ def agg_segments(spark, sf):
 
 @query("detect")
 def detect(spark, sf):
-    return flat(d.detect(whole_points(spark, sf), passages(spark, sf)))
+    return flat(d.detect(whole_points(spark, sf), passages(spark, sf), titles=proposals(spark, sf)))
 
 
 def flat(verdicts):
@@ -339,28 +339,43 @@ def flat(verdicts):
 
 @query("detect_match", f"""WITH {Q_WHOLE_POINTS}, asked AS (SELECT item_id AS query_id, 'text' AS section, NULL::varchar AS skema, text FROM ({q_dedupe('benchmark', 'item_id')})),
     {q_dense('points', 'asked', True, 1)}, th AS (SELECT query_id, text AS q_text, {q_count('text')} AS words FROM asked),
-    pr AS (SELECT n.query_id, n.doc_id, similarity_score, words, q_text AS a, p.text AS b FROM near n JOIN th USING (query_id) JOIN (SELECT doc_id, text FROM points) p USING (doc_id)),
+    pr AS (SELECT n.query_id, n.doc_id, similarity_score, words, q_text AS a, p.text AS b, string_split(p.text, chr(10))[1] AS title FROM near n JOIN th USING (query_id) JOIN (SELECT doc_id, text FROM points) p USING (doc_id)),
     ws AS (SELECT *, {q_unstopped_set('a')} AS x, {q_unstopped_set('b')} AS y FROM pr)
-    SELECT query_id, doc_id AS most_similar_article_id, round(similarity_score, 4) AS semantic_similarity, words AS text_length_words,
+    SELECT query_id, doc_id AS most_similar_article_id, title AS most_similar_article_judul, round(similarity_score, 4) AS semantic_similarity, words AS text_length_words,
       round({Q_THRESHOLD.format(base='0.8::double')}, 6) AS threshold_used, round({q_jaccard('x', 'y')}, 4) AS jaccard,
       round({q_overlap('x', 'y')}, 4) AS word_overlap FROM ws""")
 def detect_match(spark, sf):
     """The part of a verdict that plain SQL can follow: match, threshold and word sets."""
-    verdicts = d.detect(whole_points(spark, sf), passages(spark, sf))
+    verdicts = d.detect(whole_points(spark, sf), passages(spark, sf), titles=proposals(spark, sf))
     return verdicts.select(
-        "query_id", "most_similar_article_id", "semantic_similarity", F.col("text_length_words").cast("bigint").alias("text_length_words"),
+        "query_id", "most_similar_article_id", "most_similar_article_judul", "semantic_similarity", F.col("text_length_words").cast("bigint").alias("text_length_words"),
         "threshold_used", "lexical.jaccard", "lexical.word_overlap",
     )
 
 
 @query("detect_segmented")
 def detect_segmented(spark, sf):
-    return d.detect_segmented(whole_points(spark, sf), passages(spark, sf), True, 20).withColumn("detailed_segments", F.to_json("detailed_segments"))
+    cut = d.detect_segmented(whole_points(spark, sf), passages(spark, sf), True, 20, titles=proposals(spark, sf))
+    return cut.withColumns({"detailed_segments": F.to_json("detailed_segments"), "explanation": F.array_join("explanation", "; ")})
 
 
 @query("detect_bulk")
 def detect_bulk(spark, sf):
-    return d.detect_bulk(section_points(spark, sf), items(spark, sf))[1]
+    """Summaries over segments of 20 words, so that passages are cut."""
+    return d.detect_bulk(section_points(spark, sf), items(spark, sf), 20)[1]
+
+
+@query("detect_by_skema_strict", f"""WITH {Q_WHOLE_POINTS}, given AS (SELECT * FROM ({q_dedupe('benchmark', 'item_id')})),
+    asked AS (SELECT item_id AS query_id, 'text' AS section, 'src' || (item_id % 25) AS skema, text FROM given
+      WHERE 'src' || (item_id % 25) IN (SELECT skema FROM points)), {q_dense('points', 'asked', True, 1)}
+    SELECT query_id, doc_id AS most_similar_article_id, round(similarity_score, 4) AS semantic_similarity, NULL::varchar AS error FROM near
+    UNION ALL SELECT item_id, NULL, NULL, 'No points of category src' || (item_id % 25) || ' in section text' FROM given
+      WHERE 'src' || (item_id % 25) NOT IN (SELECT skema FROM points)""")
+def detect_by_skema_strict(spark, sf):
+    """Without fallback: a match inside the category, or an error."""
+    asked = passages(spark, sf).withColumn("skema", F.concat(F.lit("src"), (F.col("query_id") % 25).cast("string")))
+    found = d.detect_by_skema(whole_points(spark, sf), asked, fallback=False)
+    return found.select("query_id", "most_similar_article_id", "semantic_similarity", "error")
 
 
 @query("detect_by_skema")

@@ -11,6 +11,7 @@ from kembar.functions import text as t
 from kembar.operators import cache, rows, tfidf
 from kembar.schema import SECTIONS
 from kembar.sources import batches
+from kembar.sources.append_table import AppendTable
 from kembar.sources import proposals as src
 
 NAMES = ", ".join(SECTIONS)
@@ -97,6 +98,16 @@ def embedding_cache_refresh(spark, sf):
     return vector_facts(cache.embedding_cache_refresh(documents(spark, sf), stored), "text_md5")
 
 
+@query("embedding_cache_append", f"""WITH {Q_CACHE}, kept AS (SELECT * FROM texts WHERE {q_strip('text')} <> '')
+    {q_vector_facts('text_md5', 'kept')}""")
+def embedding_cache_append(spark, sf):
+    """A stored cache, made from some texts, refreshed with all, and refreshed once more without effect."""
+    stored = AppendTable(spark, runtime.table_path(spark, "embedding-cache"), cache.CACHE)
+    for texts in (labelled(spark, sf), documents(spark, sf), documents(spark, sf)):
+        vectors = cache.refresh_cache(texts, stored)
+    return vector_facts(vectors, "text_md5")
+
+
 @query("join_cache_miss", f"WITH {Q_CACHE} SELECT text_md5, text FROM texts WHERE text_md5 NOT IN (FROM cached)")
 def join_cache_miss(spark, sf):
     return cache.cache_misses(documents(spark, sf), cache.distinct_texts(labelled(spark, sf)))

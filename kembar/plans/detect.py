@@ -40,7 +40,17 @@ def cleaned(queries: DataFrame) -> DataFrame:
     return rows.withColumn("words", t.word_count(F.col("text")))
 
 
-def _judge(points: DataFrame, queries: DataFrame, k: int, encoder, thresholds, academic: bool, sizes) -> DataFrame:
+def with_titles(hits: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """Add the title of each hit document, from (doc_id, judul); null where there is none. Titles are read once per document."""
+    if titles is None:
+        return hits.withColumn("__title", F.lit(None).cast("string"))
+    ids = hits.select("doc_id").distinct()
+    found = titles.select("doc_id", F.col("judul").alias("__title")).join(runtime.broadcast_if_small(ids), "doc_id", "left_semi")
+    found = runtime.written(found.groupBy("doc_id").agg(F.min("__title").alias("__title")), "titles")
+    return hits.join(runtime.broadcast_if_small(found), "doc_id", "left")
+
+
+def _judge(points: DataFrame, queries: DataFrame, k: int, encoder, thresholds, academic: bool, sizes, titles=None) -> DataFrame:
     """Verdict rows for cleaned queries (query_id, section, skema, text, words[, threshold]) with unique ids."""
     fallback = join_skema_fallback(queries, points)
     if thresholds is None:
@@ -52,7 +62,7 @@ def _judge(points: DataFrame, queries: DataFrame, k: int, encoder, thresholds, a
     queries = runtime.written(fallback, "detect-queries")
     hits = nearest(points, encode(queries, "text", encoder), k, **sizes)
     hits = runtime.written(hits.withColumnRenamed("similarity_score", "semantic_similarity"), "detect-hits")
-    hits = join_matched_text(hits, points).withColumnRenamed("skema", "result_skema").drop("section")
+    hits = with_titles(join_matched_text(hits, points).withColumnRenamed("skema", "result_skema").drop("section"), titles)
     pairs = runtime.spread_work(queries.join(hits, "query_id", "left"), "query_id", "doc_id")
     pairs = lexical_metrics(pairs.withColumn("matched_text", F.coalesce("matched_text", F.lit(""))), "text",
                             "matched_text", academic)
@@ -72,7 +82,7 @@ def _judge(points: DataFrame, queries: DataFrame, k: int, encoder, thresholds, a
         F.coalesce(F.round("__composite", 4), F.lit(0.0)).alias("similarity_score"),
         F.coalesce(F.col("verdict.is_plagiarism"), F.lit(False)).alias("is_plagiarism"),
         F.when(found, F.col("matched_text")).alias("most_similar_article"),
-        F.col("doc_id").alias("most_similar_article_id"),
+        F.col("doc_id").alias("most_similar_article_id"), F.col("__title").alias("most_similar_article_judul"),
         F.round("threshold_used", 6).alias("threshold_used"),
         F.when(found, F.lit("indonesian_optimized" if academic else "single_text")).otherwise("basic").alias("analysis_type"),
         F.round(semantic, 4).alias("semantic_similarity"),
@@ -84,10 +94,13 @@ def _judge(points: DataFrame, queries: DataFrame, k: int, encoder, thresholds, a
 
 def detect(
     points: DataFrame, queries: DataFrame, k: int = 1, encoder=None, thresholds: DataFrame | None = None,
-    academic: bool = True, **sizes,
+    academic: bool = True, titles: DataFrame | None = None, **sizes,
 ) -> DataFrame:
-    """Verdict per query (query_id, section, skema, text[, threshold]) from its nearest points."""
-    return _judge(points, cleaned(queries), k, encoder, thresholds, academic, sizes)
+    """Verdict per query (query_id, section, skema, text[, threshold]) from its nearest points.
+
+    `titles` (doc_id, judul), for example the proposals, gives the title of the match.
+    """
+    return _judge(points, cleaned(queries), k, encoder, thresholds, academic, sizes, titles)
 
 
 def cut_queries(queries: DataFrame, forced: bool | None = None, profile: str | int = "balanced") -> DataFrame:
@@ -104,7 +117,7 @@ def cut_queries(queries: DataFrame, forced: bool | None = None, profile: str | i
 
 def detect_segments(
     points: DataFrame, queries: DataFrame, forced: bool | None = None, profile: str | int = "balanced", encoder=None,
-    thresholds: DataFrame | None = None, academic: bool = True, **sizes,
+    thresholds: DataFrame | None = None, academic: bool = True, titles: DataFrame | None = None, **sizes,
 ) -> DataFrame:
     """Verdict per segment of each query."""
     units = cut_queries(cleaned(queries), forced, profile)
@@ -112,7 +125,7 @@ def detect_segments(
         F.col("segment_id").alias("query_id"), F.col("segment_text").alias("text"), F.col("segment_words").alias("words"),
         *[c for c in units.columns if c not in ("query_id", "segment_id", "segment_text", "segment_words", "segment_index")],
     )
-    judged = _judge(points, asked, 1, encoder, thresholds, academic, sizes).withColumnRenamed("query_id", "segment_id")
+    judged = _judge(points, asked, 1, encoder, thresholds, academic, sizes, titles).withColumnRenamed("query_id", "segment_id")
     return units.select("segment_id", "query_id", "segment_index", "segment_words", "segment_text").join(judged, "segment_id")
 
 
@@ -120,14 +133,18 @@ def detect_segmented(
     points: DataFrame, queries: DataFrame, forced: bool | None = None, profile: str | int = "balanced",
     method: str = "top_k_average", **options,
 ) -> DataFrame:
-    """Verdict per query: summed over segments, or the single verdict where a query has one segment only."""
+    """Verdict per query: summed over segments, or the single verdict where a query has one segment only.
+
+    The classification is that of the best segment.
+    """
     judged = runtime.written(
         detect_segments(points, queries, forced, profile, **options).drop("segment_id"), "segment-verdicts"
     )
     summed = seg.agg_segments(judged, ["query_id"], method)
     best = judged.select(
         "query_id", F.col("segment_index").alias("best_segment"), "section", "most_similar_article",
-        "most_similar_article_id", "threshold_used", "search_skema",
+        "most_similar_article_id", "most_similar_article_judul", "threshold_used", "search_skema",
+        F.col("verdict.classification").alias("classification"), F.col("verdict.explanation").alias("__why"),
         F.col("verdict.confidence").alias("__confidence"), F.col("verdict.risk_level").alias("__risk"),
         F.col("analysis_type").alias("__type"),
     )
@@ -138,9 +155,16 @@ def detect_segmented(
         F.sum("segment_words").alias("text_length_words"),
     )
     many = F.col("total_segments") > 1
+    # The three sentences that explain a verdict over segments.
+    why = F.array(
+        F.concat(F.lit("Analyzed "), F.col("total_segments").cast("string"), F.lit(" segments")),
+        F.concat(F.lit("Found "), F.col("plagiarism_segments").cast("string"), F.lit(" potentially plagiarized segments")),
+        F.lit(f"Aggregation strategy: {method}"),
+    )
     return summed.join(best, ["query_id", "best_segment"]).join(details, "query_id").select(
         "query_id", "section", F.col("max_similarity").alias("similarity_score"), "is_plagiarism",
-        "most_similar_article", "most_similar_article_id", "threshold_used",
+        "most_similar_article", "most_similar_article_id", "most_similar_article_judul", "threshold_used",
+        "classification", F.when(many, why).otherwise(F.col("__why")).alias("explanation"),
         F.when(many, "segmented").otherwise(F.col("__type")).alias("analysis_type"), many.alias("segmentation_used"),
         "total_segments", "plagiarism_segments", "max_similarity", "avg_similarity", "top3_avg_similarity",
         F.when(many, F.col("confidence_score")).otherwise(F.col("__confidence")).alias("confidence_score"),
@@ -162,6 +186,20 @@ def detect_bulk(
     return verdicts, agg_bulk_summary(items, verdicts)
 
 
-def detect_by_skema(points: DataFrame, queries: DataFrame, k: int = 1, **options) -> DataFrame:
-    """Verdict inside the query's category, or over the whole section where the category has no points."""
-    return detect(points, queries.where(~t.is_blank(F.col("skema"))), k, **options)
+def detect_by_skema(points: DataFrame, queries: DataFrame, k: int = 1, fallback: bool = True, **options) -> DataFrame:
+    """Verdict inside the query's category, or over the whole section where the category has no points.
+
+    With `fallback` off, a query whose category has no points gets a row with an `error` and no verdict instead.
+    """
+    asked = queries.where(~t.is_blank(F.col("skema")))
+    if fallback:
+        return detect(points, asked, k, **options)
+    looked = runtime.written(join_skema_fallback(asked, points), "skema-queries")
+    known = looked.where(~F.col("fallback_used")).drop("search_skema", "fallback_used")
+    verdicts = detect(points, known, k, **options).withColumn("error", F.lit(None).cast("string"))
+    error = F.concat(F.lit("No points of category "), "search_skema", F.coalesce(F.concat(F.lit(" in section "), "section"), F.lit("")))
+    missing = looked.where(F.col("fallback_used")).select(
+        "query_id", "section", "search_skema", F.lit("error").alias("analysis_type"), error.alias("error"),
+        F.lit(False).alias("fallback_used"),
+    )
+    return verdicts.unionByName(missing, allowMissingColumns=True)

@@ -135,14 +135,14 @@ def bulk_queries(items: DataFrame, sections=SECTIONS) -> DataFrame:
 
 def search_bulk_dense(
     points: DataFrame, items: DataFrame, k: int = 5, threshold: float | None = None, cutoff: float | None = None,
-    encoder=None, **sizes,
+    encoder=None, texts: bool = True, **sizes,
 ) -> DataFrame:
-    """Best k per batch item over its sections by cosine, with their texts where the points have them."""
+    """Best k per batch item over its sections by cosine, with their texts if wanted and if the points have them."""
     queries = encode(filter_query_text(bulk_queries(items)), "text", encoder or HashedEncoder())
     found = nearest(points, queries, k, threshold, cutoff, **sizes)
     found = found.withColumn("query_index", F.floor(F.col("query_id") / (len(SECTIONS) + 1)).cast("bigint"))
     best = rerank_bulk(found.drop("query_id"), k)
-    if "text" not in points.columns:
+    if not texts or "text" not in points.columns:
         return best
     best = runtime.written(best.withColumnRenamed("query_index", "query_id"), "bulk-hits")
     full = join_matched_text(best, points).withColumnRenamed("query_id", "query_index")

@@ -60,6 +60,28 @@ def parse_query_batch(
     return good, bad if mode != "skip" else bad.where(F.lit(False))
 
 
+def bulk_response(
+    good: DataFrame, bad: DataFrame, results: DataFrame, item: str = "query_index",
+    fields=("doc_id", "skema", "section", "similarity_score"), sections=SECTIONS,
+) -> DataFrame:
+    """One JSON element per element of a batch: results and what was searched, or an error in its place.
+
+    `good` and `bad` are the written outcome of `parse_query_batch`. An item without results has an empty list; the
+    sections that an item searches are those it has a text for.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("row")))), lambda x: x["row"])
+    found = results.groupBy(item).agg(ordered.alias("results"))
+    none = F.array().cast(found.schema["results"].dataType)
+    searched = F.array_compact(F.array(*[F.when(F.coalesce(F.col(s), F.lit("")) != "", F.lit(s)) for s in sections]))
+    answered = good.select(item, F.col("skema").alias("skema_filter"), searched.alias("columns_searched")).join(found, item, "left")
+    answered = answered.withColumn("results", F.coalesce("results", none))
+    info = F.struct("skema_filter", "columns_searched", F.size("results").alias("total_results"))
+    keep_nulls = {"ignoreNullFields": "false"}
+    return answered.select(
+        item, F.to_json(F.struct(item, "results", info.alias("query_info")), keep_nulls).alias("response")
+    ).unionByName(bad.select(item, F.to_json(F.struct(item, "error")).alias("response")))
+
+
 def results_to_json(results: DataFrame, item: str = "query_index", fields=("doc_id", "skema", "section", "similarity_score"), items: DataFrame | None = None) -> DataFrame:
     """One JSON response per batch item, its results in rank order. An item holds at most k results.
 

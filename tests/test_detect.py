@@ -124,6 +124,38 @@ def test_bulk_of_one_equals_single_search(spark, points):
     assert one[0][1:] == (1, 1.0)
 
 
+def test_no_fallback_gives_error_rows(points, queries):
+    got = {r.query_id: r for r in d.detect_by_skema(points, queries, fallback=False).collect()}
+    assert sorted(got) == [11, 12, 15] and got[11].error is None and got[11].most_similar_article_id == 3
+    assert got[12].error == "No points of category Z in section judul" and got[12].most_similar_article_id is None
+    assert got[15].analysis_type == "error" and got[15].verdict is None
+
+
+def test_titles_and_explanations(spark, points, queries):
+    titles = spark.createDataFrame([(1, "Judul satu"), (1, "Judul satu"), (3, None)], "doc_id bigint, judul string")
+    got = {r.query_id: r for r in d.detect(points, queries, titles=titles).collect()}
+    assert got[10].most_similar_article_judul == "Judul satu" and got[11].most_similar_article_judul is None
+    assert d.detect(points, queries).first().most_similar_article_judul is None
+    cut = {r.query_id: r for r in d.detect_segmented(points, queries, True, 5, titles=titles).collect()}
+    assert cut[10].explanation == ["Analyzed 2 segments", f"Found {cut[10].plagiarism_segments} potentially plagiarized segments", "Aggregation strategy: top_k_average"]
+    parts = {(r.query_id, r.segment_index): r for r in d.detect_segments(points, queries, True, 5).collect()}
+    best = max((parts[10, i] for i in (0, 1)), key=lambda r: r.similarity_score)
+    assert cut[10].classification == best.verdict.classification and cut[10].most_similar_article_judul == "Judul satu"
+    assert cut[12].explanation == got[12].verdict.explanation and cut[13].classification is None
+
+
+def test_requests_with_their_own_limits(spark, points):
+    """One batch with k of 1 and 3 and two thresholds equals single runs."""
+    rows = [(1, "judul", None, COPY, 1, None), (2, "judul", None, COPY, 3, 0.0), (3, "judul", None, COPY, None, 0.99), (4, None, None, COPY, 4, None)]
+    asked = spark.createDataFrame(rows, "query_id bigint, section string, skema string, text string, k int, threshold double")
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in search.search_dense(points, asked, 2).collect())
+    single = []
+    for query, section, _, text, k, threshold in rows:
+        one = spark.createDataFrame([(query, section, None, text)], "query_id bigint, section string, skema string, text string")
+        single += [(r.query_id, r.rank, r.doc_id) for r in search.search_dense(points, one, k or 2, threshold).collect()]
+    assert got == sorted(single) and len({q for q, *_ in got}) == 4
+
+
 def test_by_skema_needs_a_category(points, queries):
     assert sorted(r.query_id for r in d.detect_by_skema(points, queries).collect()) == [11, 12, 15]
 
