@@ -21,6 +21,8 @@ from kembar.operators.passages import sentence_rows
 #: Query sentences whose pieces travel with a task, by the number of pieces.
 PIECES = 500_000
 PAIRS = 20_000
+#: Classes of letters that are counted to tell pairs apart before they are measured.
+LETTERS = 64
 _MATCH = "query_md5 string, sentence_md5 string, ratio double"
 
 
@@ -89,26 +91,59 @@ class Bands:
         return found
 
 
-def edit_matches(bands: Bands, asked: list[tuple[str, str]], sentences, pairs: int = PAIRS):
-    """(query number, sentence number, ratio) of pairs that reach the ratio; `sentences` are candidates by pieces only."""
-    holders = defaultdict(list)
-    for number, (_, text) in enumerate(asked):
-        for piece in bands.sought(text):
-            holders[hash(piece)].append(number)
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each text has the letters of each of LETTERS classes."""
+    lengths = np.array([len(text) for text in texts], np.int64)
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS
+    cells = np.repeat(np.arange(len(texts)), lengths) * LETTERS + signs
+    return np.bincount(cells, minlength=len(texts) * LETTERS).reshape(len(texts), LETTERS).astype(np.int32)
+
+
+class Sought:
+    """The pieces of a block of query sentences, made once for all batches of a task."""
+
+    def __init__(self, bands: Bands, asked: list[tuple[str, str]]):
+        self.bands, self.asked = bands, asked
+        self.sizes = [len(text) for _, text in asked]
+        self.lengths = np.array(self.sizes, np.int64)
+        self.letters = letter_counts([text for _, text in asked])
+        self.holders = defaultdict(list)
+        for number, (_, text) in enumerate(asked):
+            for piece in bands.sought(text):
+                self.holders[hash(piece)].append(number)
+
+    def candidates(self, text: str) -> list[int]:
+        """Query sentences that share a piece with the text and are not too long or short for it."""
+        found: set[int] = set()
+        for piece in self.bands.of(text):
+            found.update(self.holders.get(hash(piece), ()))
+        least, most = self.bands.span(len(text))
+        return [q for q in found if least <= self.sizes[q] <= most]
+
+
+def edit_matches(sought: Sought, sentences: list[str], pairs: int = PAIRS):
+    """(query number, sentence number, ratio) of all pairs that reach the ratio.
+
+    Of the candidates by pieces, those that share too few letters in any order are dropped before the subsequences are
+    measured: no subsequence is longer than the letters that both have.
+    """
+    letters, ratio = letter_counts(sentences), sought.bands.ratio - 1e-12
+    lengths = np.array([len(text) for text in sentences], np.int64)
     work: list[tuple[int, int]] = []
 
     def settled():
-        ratios = indel_ratios([asked[q][1] for q, _ in work], [sentences[s] for _, s in work])
-        out = [(q, s, float(r)) for (q, s), r in zip(work, ratios, strict=True) if r >= bands.ratio - 1e-12]
+        if not work:
+            return []
+        query, stored = np.array(work, np.int64).T
+        shared = np.minimum(sought.letters[query], letters[stored]).sum(axis=1)
+        likely = np.flatnonzero(2.0 * shared >= ratio * (sought.lengths[query] + lengths[stored]))
         work.clear()
-        return out
+        query, stored = query[likely].tolist(), stored[likely].tolist()
+        ratios = indel_ratios([sought.asked[q][1] for q in query], [sentences[s] for s in stored])
+        return [(q, s, float(r)) for q, s, r in zip(query, stored, ratios, strict=True) if r >= ratio]
 
     for number, text in enumerate(sentences):
-        least, most = bands.span(len(text))
-        found = set()
-        for piece in bands.of(text):
-            found.update(holders.get(hash(piece), ()))
-        work.extend((q, number) for q in found if least <= len(asked[q][1]) <= most)
+        work.extend((q, number) for q in sought.candidates(text))
         if len(work) >= pairs:
             yield from settled()
     yield from settled()
@@ -166,9 +201,10 @@ def similar_sentences(
 
 def _matcher(bands: Bands, block: list[tuple[str, str]]):
     def run(batches):
+        sought = Sought(bands, block)
         for batch in batches:
             keys, texts = batch.column("sentence_md5").to_pylist(), batch.column("sentence").to_pylist()
-            found = list(edit_matches(bands, block, texts))
+            found = list(edit_matches(sought, texts))
             yield pa.RecordBatch.from_pydict({
                 "query_md5": pa.array([block[q][0] for q, _, _ in found], pa.string()),
                 "sentence_md5": pa.array([keys[s] for _, s, _ in found], pa.string()),

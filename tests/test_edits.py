@@ -46,7 +46,7 @@ def test_no_pair_is_missed(ratio):
     rng = random.Random(int(ratio * 100))
     texts = made_up(rng, 180)
     asked, stored = [(str(i), t) for i, t in enumerate(texts[::4])], texts
-    got = {(q, s) for q, s, _ in edits.edit_matches(edits.Bands(ratio), asked, stored, pairs=500)}
+    got = {(q, s) for q, s, _ in edits.edit_matches(edits.Sought(edits.Bands(ratio), asked), stored, pairs=500)}
     expected = {
         (q, s) for q, (_, a) in enumerate(asked) for s, b in enumerate(stored)
         if 2 * plain_lcs(a, b) / (len(a) + len(b)) >= ratio - 1e-12
