@@ -39,9 +39,13 @@ def spans_text(findings, kinds=None):
     return F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+#: Names the folder of a ledger that outlives the session; without it, each run starts with an empty one.
+LEDGER_SETTING = "kembar.blobLedger"
+
+
 @query("op1_secrets")
 def op1(spark, sf):
-    ledger = secrets.BlobLedger(spark, runtime.table_path(spark, "blob-ledger"))
+    ledger = secrets.BlobLedger(spark, spark.conf.get(LEDGER_SETTING, None) or runtime.table_path(spark, "blob-ledger"))
     found = ledger.scan(documents(spark, sf))
     findings = F.coalesce("findings", F.array().cast(found.schema["findings"].dataType))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,35 @@ def test_ledger_scans_only_what_is_new(spark):
     assert next(r for r in newer.scan(both).collect() if r.doc_id == 2).findings[-1].end == 26
 
 
+def test_two_scans_at_once_count_findings_once(spark):
+    path = runtime.table_path(spark, "ledger")
+    df = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    want = sorted(map(str, secrets.BlobLedger(spark, path).scan(df).collect()))
+    late = runtime.table_path(spark, "ledger")
+    secrets.BlobLedger(spark, late).scan(df)
+    spark.read.parquet(late).write.mode("append").parquet(path)  # as if both had found the ledger empty
+    ledger = secrets.BlobLedger(spark, path)
+    assert ledger.stored().count() == 2 * ledger.stored().select("blob").distinct().count()
+    assert sorted(map(str, ledger.scan(df).collect())) == want
+    assert ledger.rows().count() == len(secrets.RULES) * ledger.stored().select("blob").distinct().count()
+
+
+def test_the_query_goes_on_with_a_ledger_that_lasts(spark, tmp_path):
+    from kembar.llm import queries
+
+    texts = spark.createDataFrame([(d, t) for d, t in TEXTS], "doc_id bigint, text string")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(queries.LEDGER_SETTING, str(tmp_path / "ledger"))
+    try:
+        first = sorted(map(str, queries.op1(spark, str(tmp_path)).collect()))
+        ledger = secrets.BlobLedger(spark, str(tmp_path / "ledger"))
+        rows = ledger.stored().count()
+        assert sorted(map(str, queries.op1(spark, str(tmp_path)).collect())) == first and rows == len({t or "" for _, t in TEXTS})
+        assert ledger.stored().count() == rows
+    finally:
+        spark.conf.unset(queries.LEDGER_SETTING)
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string, page_id bigint, url string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
@@ -263,6 +293,77 @@ def test_branches_that_look_alike_share_their_purity(spark):
     assert got["http://shop.org/about/team/px"].verdict == got["http://news.org/b/3"].verdict == "allow"
 
 
+def plain_templates(shapes, tolerance=0.1):
+    """Templates of {shape: pages} of one host, one segment at a time."""
+    found = {}
+
+    def below(template, rows):
+        if not any(rest for _, rest, _ in rows):
+            found.update({shape: template for shape, _, _ in rows})
+            return
+        after, total = {}, sum(n for *_, n in rows)
+        for _, rest, n in rows:
+            own = after.setdefault(rest[0] if rest else "", {})
+            own[rest[1] if len(rest) > 1 else ""] = own.get(rest[1] if len(rest) > 1 else "", 0) + n
+        nexts = {}
+        for own in after.values():
+            for k, n in own.items():
+                nexts[k] = nexts.get(k, 0) + n
+        names = {}
+        for segment, own in after.items():
+            size = sum(own.values())
+            far = sum(abs(own.get(k, 0) / size - n / total) for k, n in nexts.items()) / 2
+            alike = len(after) > 1 and far <= tolerance + 0.5 * (len(own) / size) ** 0.5 + 1e-9
+            variable = len(after) >= 8 and size * len(after) <= 2 * total and 2 * len(after) > total
+            names[segment] = "" if segment == "" else "/*" if alike or variable else "/" + segment
+        for name in set(names.values()):
+            some = [(shape, rest[1:], n) for shape, rest, n in rows if names[rest[0] if rest else ""] == name]
+            below(template + name, some) if name else found.update({shape: template for shape, _, _ in some})
+
+    below("", [(shape, [x for x in shape.split("/") if x], n) for shape, n in shapes.items()])
+    return found
+
+
+def test_tree_equals_one_that_goes_segment_by_segment(spark):
+    pick = random.Random(11)
+    hosts = {"h%d" % i: {} for i in range(12)}
+    for i, shapes in enumerate(hosts.values()):
+        words = "abcdefgh"[: 2 + i % 7]
+        for _ in range(60):
+            path = "".join("/" + pick.choice(words) for _ in range(pick.randint(0, 3 + i)))
+            shapes["/deep/er" * (i % 3) + path + pick.choice(["", "/", "/#"])] = pick.choice([1, 1, 2, 5, 40])
+    hosts["slugs"] = {f"/p/slug-{chr(97 + i // 20)}{chr(97 + i % 20)}/x": 1 for i in range(300)}
+    rows = [(h, shape, n, 0, 0) for h, shapes in hosts.items() for shape, n in shapes.items()]
+    df = spark.createDataFrame(rows, "host string, shape string, n bigint, bad bigint, good bigint")
+    got = url_filter.path_tree(df).collect()
+    assert len(got) == len(rows)
+    want = {h: plain_templates(shapes) for h, shapes in hosts.items()}
+    assert [(r.host, r.shape, r.template) for r in got if want[r.host][r.shape] != r.template] == []
+    assert any(r.template.count("/") > 8 for r in got) and {r.template for r in got if r.host == "slugs"} == {"/p/*/x"}
+
+
+def test_branches_below_the_fourth_segment_are_told_apart(spark):
+    deep = "/a/b/c/d/e/f/g/h/i/j"
+    rules = (("block", f"deep.org{deep}/bad/"), ("allow", f"deep.org{deep}/good/"))
+    urls = [f"http://deep.org{deep}/{kind}/{tail}" for kind in ("bad", "good") for tail in ["x"] * 30 + ["y"] * 3]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = url_filter.url_filter(df, rules).collect()
+    assert all(r.verdict == ("block" if "/bad/" in r.path else "allow") for r in got)
+    shapes = spark.createDataFrame([("h", f"{deep}/bad/#/{t}", 50, 50, 0) for t in "pq"] + [("h", f"{deep}/good/{t}", 50, 0, 50) for t in ("rr", "ss")], "host string, shape string, n bigint, bad bigint, good bigint")
+    judged = {r.shape: r.rejected for r in url_filter.rejected(url_filter.path_tree(shapes)).collect()}
+    assert all(judged[s] == ("/bad/" in s) for s in judged) and len(judged) == 4
+
+
+def test_very_long_paths_take_no_long_time(spark):
+    long = ["/" + "abcdef-" * 15_000, "/" + "a/" * 50_000, "/" + "ab1" * 30_000, "/" + "g1" * 50_000]
+    df = spark.createDataFrame([(i, "http://long.org" + p) for i, p in enumerate(long)], "page_id bigint, url string")
+    began = time.monotonic()
+    assert url_filter.url_filter(df).where("path <> ''").count() == len(long)
+    assert time.monotonic() - began < 60
+    shapes = {r.page_id: r.s for r in df.select("page_id", url_filter.shape_of(url_filter.path_of("url")).alias("s")).collect()}
+    assert shapes[0] == long[0] and shapes[2] == "/#" and shapes[3] == "/" + "g#" * 50_000
+
+
 # ---------------------------------------------------------------- the given tables
 
 def test_held_out_rows_go_by_crc32(spark):
