@@ -19,6 +19,19 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def unused_name(name: str, *frames: DataFrame) -> str:
+    """`name`, with underscores behind it until none of `frames` has a column called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of a row in one, `row`, so that none can clash with those that are added."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
