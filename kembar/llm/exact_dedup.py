@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kembar import runtime
-from kembar.llm.words import lower_az, text_or_empty
+from kembar.llm.words import lower_az, text_or_empty, whole_rows
 
 FAN_IN = 16
 #: A digest and two further checks: rows count as equal only if all three agree.
@@ -64,7 +64,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The rows that stay are found by id and digest; where rows agree in both, one of them stays.
     """
     groups = exact_groups(docs, id_col, text_col, keep).where("kept")
-    stay = groups.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    own = docs.withColumn("__sha", F.unhex(F.sha2(lower_az(text_or_empty(text_col)), 256)))
-    joined = own.join(stay, own[id_col].eqNullSafe(stay["__id"]) & (own["__sha"] == stay["__digest"]), "left_semi")
-    return joined.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    stay = groups.select(F.col("doc_id").alias("stay_id"), F.unhex("text_sha256").alias("stay_digest"))
+    digest = F.unhex(F.sha2(lower_az(text_or_empty(text_col)), 256))
+    own = docs.select(whole_rows(docs), F.col(id_col).alias("id"), digest.alias("digest"))
+    joined = own.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_digest")), "left_semi")
+    return joined.dropDuplicates(["id", "digest"]).select("row.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kembar import runtime
-from kembar.llm.words import text_or_empty, word_total
+from kembar.llm.words import text_or_empty, whole_rows, word_total
 
 #: Classes of sampling rank in which sizes are summed before the cut is looked for.
 RANK_CLASSES = 4096
@@ -131,20 +131,23 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     return mix(sized, shared_targets(cycled_weights(source_totals(sized), weights), share, most), seed)
 
 
-def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
-    """Rows of `docs`, all columns, with `copies`: how often the mix takes each, whole; rows without words are never taken.
+def mix_copies(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", copies_col: str = "copies",
+) -> DataFrame:
+    """Rows of `docs`, all columns, with `copies_col`: how often the mix takes each, whole; rows without words are never taken.
 
     Rows are matched by id, source and size; rows that agree in all three are numbered on both sides in any order, as
-    each of them stands for the same number of words.
+    each of them stands for the same number of words. `docs` must not have a column called `copies_col`.
     """
+    if copies_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"documents have a column {copies_col}; name another one for the copies")
     mixed = mix_documents(docs, weights, share, most, seed)
-    keys = ["__id", "__source", "__size", "__n"]
-    same = Window.partitionBy("__id", "__source", "__size").orderBy(F.lit(0))
+    keys = ["id", "source", "size"]
+    same = Window.partitionBy(*keys).orderBy(F.lit(0))
     found = mixed.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int").alias("copies"),
-    ).withColumn("__n", F.row_number().over(same))
-    own = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__size": word_total(text_or_empty())})
-    own = own.withColumn("__n", F.row_number().over(same)).alias("own")
-    match = [F.col(f"own.{k}").eqNullSafe(F.col(f"found.{k}")) for k in keys]
-    return own.join(found.alias("found"), match).select(*(F.col(f"own.`{c}`") for c in docs.columns if c != "copies"), "found.copies")
+        F.col("doc_id").alias("id"), "source", "size", F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int").alias("copies"),
+    ).withColumn("n", F.row_number().over(same)).alias("found")
+    own = docs.select(whole_rows(docs), docs["doc_id"].alias("id"), docs["source"], word_total(text_or_empty()).alias("size"))
+    own = own.withColumn("n", F.row_number().over(same)).alias("own")
+    match = [F.col(f"own.{k}").eqNullSafe(F.col(f"found.{k}")) for k in [*keys, "n"]]
+    return own.join(found, match).select("own.row.*", F.col("found.copies").alias(copies_col))

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kembar.llm.words import lower_words, per_batch
+from kembar.llm.words import lower_words, per_batch, unused_name
 
 #: Bounds of what is fitted on: labelled rows of either kind, those of the lowest hash of their id, and words of a row.
 FIT_TOXIC, FIT_ORDINARY, FIT_WORDS = 2000, 4000, 2000
@@ -172,20 +172,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC
     return Model(bytes(learned.plain), bytes(learned.toxic), tuple(learned.cuts), tuple(learned.weights)) if learned else fit([], [])
 
 
-def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `docs` (the columns named, all by default) with `toxic_score` from 0 to 1, from the whole text alone.
+def score_toxicity(
+    docs: DataFrame, model: Model, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", score_col: str = "toxic_score",
+) -> DataFrame:
+    """Rows of `docs` (the columns named, all by default) with `score_col` from 0 to 1, from the whole text alone.
 
     Null and empty texts have the score of a text without toxic windows. Repeated rows get the same score each; an
     existing column of that name is replaced. No rows: no rows.
     """
-    columns = [c for c in (columns or docs.columns) if c != "toxic_score"]
-    rows = docs.select(*columns, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", toxic_score double"
+    columns = [c for c in (columns or docs.columns) if c.lower() != score_col.lower()]
+    own_text = unused_name("text_to_score", docs)
+    rows = docs.select(*columns, F.col(text_col).alias(own_text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + f", `{score_col}` double"
     known: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("__text")
+        texts = batch.column(own_text)
         scores = [model.scores([lower_words(texts[i].as_py())], known)[0] for i in range(batch.num_rows)]
-        return {c: batch.column(c) for c in columns} | {"toxic_score": pa.array(scores, pa.float64())}
+        return {c: batch.column(c) for c in columns} | {score_col: pa.array(scores, pa.float64())}
 
     return per_batch(rows, run, schema)
