@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import sys
+import subprocess
 import os
 
 import pytest
@@ -48,3 +50,12 @@ def test_query(spark, duck, name):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_other_queries_stay_without_a_package_of_the_optional_ones():
+    code = "import sys; sys.modules['tiktoken'] = sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1_') for k in e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    count, optional = done.stdout.split()
+    assert int(count) > 90 and optional == "False"
