@@ -1,10 +1,7 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window by window."""
+"""Toxicity by compression distance: a zstandard dictionary of ordinary and one of toxic text, window by window."""
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,92 +11,157 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kembar.llm.words import lower_words, per_batch, unused_name
-
-#: Bounds of what is fitted on: labelled rows of either kind, those of the lowest hash of their id, and words of a row.
-FIT_TOXIC, FIT_ORDINARY, FIT_WORDS = 2000, 4000, 2000
-DICTIONARY_BYTES = 4096
-#: How a window, one word, is shown to the compressors: times in a row, and level. Some words are too short alone:
-#: below seven bytes zstandard stores a block as it is.
-VIEWS = ((1, 3), (3, 5))
+from kembar.llm.words import LOWER_BYTES, per_batch, unused_name
+
+#: Bounds of what is fitted on: labelled rows of either kind, those of the lowest hash of their id, with their whole texts.
+FIT_TOXIC, FIT_ORDINARY = 2000, 4000
+#: A window has so many words; the next one starts so many words further, so that any three words in a row share a window.
+WINDOW, STRIDE = 4, 2
+#: Words in a row that may be typical of toxic text.
+RUN = 3
+DICTIONARY_BYTES = 8192
+LEVEL = 5
+#: Savings of a window, in bytes, are counted up to this one; more count as this.
+MOST_SAVED = 24
+#: Words beyond so many bytes, as in scripts without blanks, are taken in pieces of half of that.
+LONG_WORD = 64
 EDGE = b".,;:!?\"'()[]"
-KNOWN_WORDS = 400_000
-#: Bits of each view's count in a sum of codes; a text is below two GiB, so no count reaches 2**32.
-COUNT_BITS = 32
+TABLE = LOWER_BYTES.translate(bytes.maketrans(EDGE, b" " * len(EDGE)))
+
+
+def bare_words(text: str | None) -> list[bytes]:
+    """Words of a text without punctuation, after lower-casing A-Z."""
+    words = text.encode("utf-8", "surrogatepass").translate(TABLE).split() if text else []
+    if words and max(map(len, words)) > LONG_WORD:
+        half = LONG_WORD // 2
+        words = [p for w in words for p in ([w] if len(w) <= LONG_WORD else (w[i:i + half] for i in range(0, len(w), half)))]
+    return words
 
 
-def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = 30.0) -> list[bytes]:
-    """Words that toxic texts hold in more contexts than ordinary ones, least typical first.
+def windows(words: list[bytes]) -> list[bytes]:
+    """All windows of a text; the last one may be shorter, none is part of the one before it."""
+    starts = range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE) if words else ()
+    return [b" " + b" ".join(words[i:i + WINDOW]) + b" " for i in starts]
 
-    A context is the pair of neighbours, by a checksum, so a passage that is copied many times counts once. `least` is the log-likelihood
-    ratio from which the difference is not chance.
+
+def typical_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = 30.0) -> list[bytes]:
+    """Every occurrence of one to RUN words in a row that more of the toxic texts hold than of the ordinary ones.
+
+    A text counts for a run if it is the first with these neighbours, so a passage that is copied many times counts once.
+    `least` is the log-likelihood
+    ratio from which the difference is not chance. A longer run counts only if it is as strong as its parts, so that an
+    ordinary neighbour of a toxic word does not.
     """
-    def contexts(texts: list[list[bytes]]) -> dict[bytes, int]:
-        found: dict[bytes, set] = defaultdict(set)
-        for text in texts:
-            bare = [w.strip(EDGE) for w in text]
-            for before, word, after in zip([b"", *bare], bare, [*bare[1:], b""], strict=False):
-                if word:
-                    found[word].add(zlib.crc32(after, zlib.crc32(before)))
-        return {w: len(s) for w, s in found.items()}
-
-    in_toxic, in_ordinary = contexts(toxic), contexts(ordinary)
-    a, b = max(1, sum(in_toxic.values())), max(1, sum(in_ordinary.values()))
-
-    def ratio(word: bytes) -> float:
-        c, d = in_toxic[word], in_ordinary.get(word, 0)
-        if c / a <= 2 * d / b:
-            return 0.0
+    numbers: dict[bytes, int] = {b"": 0}
+    factor = np.uint64(0x9E3779B97F4A7C15)
+
+    def numbered(texts: list[list[bytes]]) -> np.ndarray:
+        """Words as numbers, with RUN + 1 gaps (0) between texts."""
+        gap = [0] * (RUN + 1)
+        flat = [n for text in texts for n in ([numbers.setdefault(w, len(numbers)) for w in text] + gap)]
+        return np.array(gap + flat, dtype=np.uint64)
+
+    def runs(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the runs of n words, hashes of these, hashes of their neighbours."""
+        at = np.arange(1, max(1, len(x) - n))
+        at = at[np.all([x[at + k] > 0 for k in range(n)], axis=0)] if len(at) else at
+        code = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            code = (code ^ (x[at + k] * factor)) * factor
+            code ^= code >> np.uint64(29)
+        return at, code, (x[at - 1] << np.uint64(32)) | x[at + n]
+
+    def holders(x: np.ndarray, at: np.ndarray, code: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs and the number of texts that count for each."""
+        text = np.cumsum(x == 0)[at]
+        order = np.lexsort((text, around, code))
+        c, r, t = code[order], around[order], text[order]
+        first = np.ones(len(c), bool)
+        first[1:] = (c[1:] != c[:-1]) | (r[1:] != r[:-1])
+        c, t = c[first], t[first]
+        order = np.lexsort((t, c))
+        c, t = c[order], t[order]
+        first = np.ones(len(c), bool)
+        first[1:] = (c[1:] != c[:-1]) | (t[1:] != t[:-1])
+        return np.unique(c[first], return_counts=True)
+
+    bad, good = numbered(toxic), numbered(ordinary)
+    words = [b""] * (RUN + 1) + [w for text in toxic for w in (text + [b""] * (RUN + 1))]
+    chosen: list[tuple[int, bytes]] = []
+    before = np.zeros(len(bad))
+    for n in range(1, RUN + 1):
+        at, code, around = runs(bad, n)
+        keys, c = holders(bad, at, code, around)
+        other, d_of = holders(good, *runs(good, n))
+        a, b = max(1, c.sum()), max(1, d_of.sum())
+        slot = np.minimum(np.searchsorted(other, keys), max(0, len(other) - 1))
+        d = np.where(other[slot] == keys, d_of[slot], 0) if len(other) else np.zeros(len(keys))
         both = (c + d) / (a + b)
-        return 2 * (c * math.log(c / (a * both)) + (d * math.log(d / (b * both)) if d else 0))
+        strength = 2 * (c * np.log(c / (a * both)) + np.where(d > 0, d * np.log(np.maximum(d, 1) / (b * both)), 0))
+        strength = np.where(c / a > 2 * d / b, strength, 0.0)
+        here = np.zeros(len(bad))
+        here[at] = strength[np.searchsorted(keys, code)]
+        parts = np.maximum(before[at], before[np.minimum(at + 1, len(bad) - 1)]) if n > 1 else 0.0
+        for i in at[(here[at] > least) & (here[at] >= 0.98 * parts)].tolist():
+            chosen.append((i, b" " + b" ".join(words[i:i + n]) + b" "))
+        before = here
+    return [run for _, run in sorted(chosen)]
+
 
-    strength = {w: r for w in in_toxic if (r := ratio(w)) > least}
-    return sorted(strength, key=lambda w: (strength[w], w))
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The dictionary that zstandard trains on samples; of too few to train on, the different samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(sorted(set(samples)))[:size]
 
 
 def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = DICTIONARY_BYTES) -> tuple[bytes, bytes]:
-    """(ordinary, toxic): the first as zstandard trains it on windows of eight words of ordinary text, the second with the
-    text that is typical of toxic windows after the same content, so that both fit ordinary words alike."""
-    samples = [b" " + b" ".join(text[i:i + 8]) + b" " for text in ordinary for i in range(0, len(text), 8)]
-    plain = zstandard.train_dictionary(size, samples[:: max(1, len(samples) // 30_000)]).as_bytes()
-    return plain, plain + b" " + b" ".join(distinctive(toxic, ordinary)[-2000:]) + b" "
+    """(ordinary, toxic): trained on all windows of ordinary texts, and on those parts of toxic ones that are typical of them."""
+    return trained([w for text in ordinary for w in windows(text)], size), trained(typical_runs(toxic, ordinary), size)
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """Dictionaries serve as plain content: without tables of letters, what is not found in them costs its whole length."""
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
 
 
 @dataclass
 class Model:
-    """Dictionaries, the saving from which a window counts in each view, and a logistic calibration of a text's counts."""
+    """Two dictionaries, the saving from which a window counts, and a logistic calibration of a text's counts."""
 
     plain: bytes
     toxic: bytes
-    cuts: tuple[int, ...] = (2, 4)
-    weights: tuple[float, ...] = (0.0,) * 5
-
-    def savings(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """For each word and view, the bytes that the toxic dictionary saves over the ordinary one."""
-        pairs = [tuple(zstandard.ZstdCompressor(level=level, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT)) for d in (self.plain, self.toxic)) for _, level in VIEWS]
-        out = {}
-        for word in words:
-            shown = [(b" " + word) * times + b" " for times, _ in VIEWS]
-            out[word] = tuple(len(plain.compress(x)) - len(toxic.compress(x)) for x, (plain, toxic) in zip(shown, pairs, strict=True))
+    cut: int = 2
+    weights: tuple[float, ...] = (-2.0, 0.0, 0.0, 0.0, 0.0)
+
+    def histograms(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Per text, how many windows the toxic dictionary makes shorter by 0, 1, ... MOST_SAVED bytes."""
+        out = np.zeros((len(texts), MOST_SAVED + 1), np.int64)
+        if not self.toxic:
+            out[:, 0] = [len(windows(text)) for text in texts]
+            return out
+        # A toxic text mostly consists of ordinary words. What chance makes one dictionary fit them better would drown the few
+        # others, so windows are compared under the ordinary dictionary alone and with the toxic one before it.
+        ordinary = self.plain or b" " * 8
+        plain, both = compressor(ordinary).compress, compressor(self.toxic + ordinary).compress
+        for row, text in zip(out, texts, strict=True):
+            for w in windows(text):
+                row[min(MOST_SAVED, max(0, len(plain(w)) - len(both(w))))] += 1
         return out
 
-    def features(self, texts: list[list[bytes]], known: dict[bytes, int] | None = None) -> np.ndarray:
-        """Per text: 1, and per view the logarithm of the toxic windows and their share. `known` keeps codes of words seen."""
-        known = {} if known is None else known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = {w for text in texts for w in text if w not in known}
-        for word, saved in self.savings(new).items():
-            known[word] = sum((s >= cut) << (COUNT_BITS * k) for k, (s, cut) in enumerate(zip(saved, self.cuts, strict=True)))
-        rows = []
-        for text in texts:
-            total = sum(map(known.__getitem__, text))
-            hits = [(total >> (COUNT_BITS * k)) & ((1 << COUNT_BITS) - 1) for k in range(len(VIEWS))]
-            rows.append([1.0, *(f for h in hits for f in (math.log1p(h), h / max(1, len(text)) * 10))])
-        return np.array(rows, float).reshape(-1, 1 + 2 * len(VIEWS))
-
-    def scores(self, texts: list[list[bytes]], known: dict[bytes, int] | None = None) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts, known) @ np.array(self.weights), -30, 30)))
+    def scores(self, texts: list[list[bytes]]) -> np.ndarray:
+        x = features(self.histograms(texts), self.cut)
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
+
+
+def features(histograms: np.ndarray, cut: int) -> np.ndarray:
+    """Per text: 1, and for windows that save `cut` bytes and two bytes more, the logarithm of their number and their share."""
+    total = np.maximum(1, histograms.sum(axis=1))
+    hits = [histograms[:, c:].sum(axis=1) for c in (cut, cut + 2)]
+    return np.column_stack([np.ones(len(histograms)), *(f for h in hits for f in (np.log1p(h), 10 * h / total))])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -113,30 +175,21 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
 
 
 def fit(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
-    """Dictionaries from one half of the texts, cuts and weights from the other; from all of them if there are few.
-
-    Without toxic texts, or with too few ordinary ones for a dictionary, every text has one low score."""
-    if not toxic or sum(map(len, ordinary)) < 800:
-        return Model(b"", b"", weights=(-2.0, 0.0, 0.0, 0.0, 0.0))
-    half = len(toxic) >= 200
-    plain, special = train_dictionaries(toxic[::2] if half else toxic, ordinary[::2] if half else ordinary)
-    held = (toxic[1::2], ordinary[1::2]) if half else (toxic, ordinary)
-    texts, y = held[0] + held[1], np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
-    saved = Model(plain, special).savings({w for t in texts for w in t})
-    best = None
-    for first in (2, 3, 4):
-        for second in (3, 4, 5):
-            model = Model(plain, special, (first, second))
-            known = {w: (s[0] >= first) + ((s[1] >= second) << COUNT_BITS) for w, s in saved.items()}
-            weights, loss = calibrate(_features(known, texts), y)
-            if best is None or loss < best[0]:
-                best = loss, Model(plain, special, model.cuts, tuple(map(float, weights)))
-    return best[1]
-
-
-def _features(known: dict[bytes, int], texts: list[list[bytes]]) -> np.ndarray:
-    return Model(b"", b"").features(texts, dict(known)) if len(known) <= KNOWN_WORDS else np.concatenate(
-        [Model(b"", b"").features([t], {w: known[w] for w in set(t)}) for t in texts])
+    """Dictionaries from all texts; the cut and the weights from each half of the whole texts under dictionaries of the other.
+
+    Without texts of either kind nothing tells them apart, and every text has one low score."""
+    if not toxic or not ordinary:
+        return Model(b"", b"")
+    counts, marks = [], []
+    for side in (0, 1):
+        half = Model(*train_dictionaries(toxic[side::2], ordinary[side::2]))
+        for kind, texts in ((1.0, toxic[1 - side::2]), (0.0, ordinary[1 - side::2])):
+            counts.append(half.histograms(texts))
+            marks.append(np.full(len(texts), kind))
+    seen, y = np.concatenate(counts), np.concatenate(marks)
+    tried = [(loss, cut, weights) for cut in range(1, 9) for weights, loss in [calibrate(features(seen, cut), y)]]
+    _, cut, weights = min(tried, key=lambda t: t[:2])
+    return Model(*train_dictionaries(toxic, ordinary), cut, tuple(map(float, weights)))
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -144,32 +197,22 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, ordinary_rows: int = FIT_ORDINARY, row_words: int = FIT_WORDS) -> Model:
-    """A model from at most so many labelled rows that are not held out, and of each at most `row_words` words from a place
-    that its id fixes. Null labels are left out; an id with several labels is toxic if one is."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, ordinary_rows: int = FIT_ORDINARY) -> Model:
+    """A model from at most so many labelled rows that are not held out, with whole texts. Null labels are left out; an id
+    with several labels is toxic if one is. The rows chosen are fitted on in one task."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionAll(marks.where("toxic = 0").orderBy(*order).limit(ordinary_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most that many rows of two numbers
 
-    def cut(batch: pa.RecordBatch) -> dict:
-        texts = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = lower_words(text)
-            start = hash(int(doc_id) * 2654435761) % max(1, len(words) - row_words + 1) if len(words) > row_words else 0
-            texts.append(b" ".join(words[start:start + row_words]))
-        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(texts, pa.binary())}
-
-    sample = per_batch(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), cut, "doc_id bigint, toxic int, words binary")
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "toxic", "words"])
-        kinds = [[bytes(w).split() for w in rows.loc[rows["toxic"] == y, "words"]] for y in (1, 0)]
-        model = fit(*kinds)
-        return pd.DataFrame({"plain": [model.plain], "toxic": [model.toxic], "cuts": [list(model.cuts)], "weights": [list(model.weights)]})
+        rows = rows.fillna({"text": ""}).sort_values(["doc_id", "toxic", "text"])
+        model = fit(*([bare_words(t) for t in rows.loc[rows["toxic"] == y, "text"]] for y in (1, 0)))
+        return pd.DataFrame({"plain": [model.plain], "toxic": [model.toxic], "cut": [model.cut], "weights": [list(model.weights)]})
 
-    # The sample is bounded, so one task can hold it; the driver gets the model only.
-    learned = sample.groupBy(F.col("toxic").isNull().alias("all")).applyInPandas(learn, "plain binary, toxic binary, cuts array<int>, weights array<double>").first()
-    return Model(bytes(learned.plain), bytes(learned.toxic), tuple(learned.cuts), tuple(learned.weights)) if learned else fit([], [])
+    # The driver gets the model only.
+    learned = rows.groupBy(F.col("toxic").isNull().alias("all")).applyInPandas(learn, "plain binary, toxic binary, cut int, weights array<double>").first()
+    return Model(bytes(learned.plain), bytes(learned.toxic), learned.cut, tuple(learned.weights)) if learned else fit([], [])
 
 
 def score_toxicity(
@@ -184,11 +227,10 @@ def score_toxicity(
     own_text = unused_name("text_to_score", docs)
     rows = docs.select(*columns, F.col(text_col).alias(own_text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + f", `{score_col}` double"
-    known: dict[bytes, int] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column(own_text)
-        scores = [model.scores([lower_words(texts[i].as_py())], known)[0] for i in range(batch.num_rows)]
+        scores = np.concatenate([model.scores([bare_words(t.as_py()) for t in texts[i:i + 256]]) for i in range(0, batch.num_rows, 256)] or [np.zeros(0)])
         return {c: batch.column(c) for c in columns} | {score_col: pa.array(scores, pa.float64())}
 
     return per_batch(rows, run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kembar.llm import toxicity as tx
 
 
-def corpus(n=900, seed=1):
+def corpus(n=1200, seed=1):
     pick = random.Random(seed)
     syllables = ["ta", "ri", "mo", "len", "so", "ka", "pe", "dun", "vi", "gra"]
     plain = ["".join(pick.choices(syllables, k=pick.randint(1, 4))) for _ in range(3000)]
@@ -65,11 +65,49 @@ def test_without_labels_or_documents(spark):
 
 def test_few_ordinary_words_reject_nothing():
     toxic, ordinary = [[b"zukker", b"blitzorf"] * 20] * 5, [[b"ta", b"ri", b"mo"] * 10]
-    for few in (ordinary, []):
-        assert (tx.fit(toxic, few).scores([*ordinary, []]) < 0.3).all()
+    assert (tx.fit(toxic, []).scores([*ordinary, []]) < 0.3).all()
+    assert (tx.fit([], ordinary).scores([*toxic, *ordinary, []]) < 0.3).all()
+    assert (tx.fit(toxic, ordinary * 12).scores([*ordinary, []]) < 0.3).all()
 
 
-def test_counts_of_very_long_texts(monkeypatch):
-    monkeypatch.setattr(tx.Model, "savings", lambda self, words: {w: (9, 0) for w in words})
-    n = (1 << 20) + 5
-    assert np.allclose(tx.Model(b"", b"").features([[b"zukker"] * n]), [[1, np.log1p(n), 10, 0, 0]])
+def test_windows_and_long_words():
+    words = [b"w%d" % i for i in range(11)]
+    shown = tx.windows(words)
+    assert all(any(b" " + b" ".join(words[i:i + tx.RUN]) + b" " in w for w in shown) for i in range(9))
+    assert tx.windows([]) == [] and tx.windows([b"a"]) == [b" a "]
+    assert tx.bare_words("A, (b)\nC!") == [b"a", b"b", b"c"]
+    pieces = tx.bare_words("x" * 1000 + " y")
+    assert b"".join(pieces) == b"x" * 1000 + b"y" and max(map(len, pieces)) == tx.LONG_WORD // 2
+
+
+def test_phrase_of_ordinary_words():
+    """Only the order of words tells toxic texts: each word of the phrase stands in ordinary texts too."""
+    pick = random.Random(3)
+    syllables = ["ta", "ri", "mo", "len", "so", "ka", "pe", "dun", "vi", "gra"]
+    words = ["".join(pick.choices(syllables, k=pick.randint(1, 4))).encode() for _ in range(600)]
+    def texts(n):
+        rows = [(pick.choices(words, k=pick.randint(30, 150)), i % 4 == 0) for i in range(n)]
+        for text, bad in rows:
+            for _ in range(pick.randint(1, 3) if bad else 0):
+                at = pick.randrange(len(text))
+                text[at:at] = words[1:4]
+        return rows
+
+    learned = texts(900)
+    model = tx.fit([t for t, bad in learned if bad], [t for t, bad in learned if not bad])
+    new = texts(300)
+    found = model.scores([t for t, _ in new]) >= 0.3
+    bad = np.array([b for _, b in new])
+    assert found[bad].mean() > 0.9 and (~found)[~bad].mean() > 0.9
+
+
+def test_copies_of_a_passage_and_long_texts_count_once():
+    passage = [b"alpha", b"beta", b"gamma", b"delta"]
+    pick = random.Random(1)
+    def noise(n):
+        return [b"n%d" % pick.randrange(500) for _ in range(n)]
+
+    toxic = [noise(5) + [b"start", *passage, b"end"] + noise(5) for _ in range(60)] + [[w for _ in range(200) for w in [*noise(1), b"often"]]]
+    toxic = [[*t, b"zukker", *noise(1)] for t in toxic]
+    runs = set(tx.typical_runs(toxic, [noise(40) for _ in range(200)]))
+    assert b" zukker " in runs and b" beta " not in runs and b" often " not in runs
