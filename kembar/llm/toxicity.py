@@ -136,6 +136,7 @@ class Model:
     toxic: bytes
     cut: int = 2
     weights: tuple[float, ...] = (-2.0, 0.0, 0.0, 0.0, 0.0)
+    rates: tuple[float, float] = (0.0, 0.0)
 
     def histograms(self, texts: list[list[bytes]]) -> np.ndarray:
         """Per text, how many windows the toxic dictionary makes shorter by 0, 1, ... MOST_SAVED bytes."""
@@ -153,15 +154,26 @@ class Model:
         return out
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        x = features(self.histograms(texts), self.cut)
+        x = features(self.histograms(texts), self.cut, self.rates)
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
 
-def features(histograms: np.ndarray, cut: int) -> np.ndarray:
-    """Per text: 1, and for windows that save `cut` bytes and two bytes more, the logarithm of their number and their share."""
-    total = np.maximum(1, histograms.sum(axis=1))
-    hits = [histograms[:, c:].sum(axis=1) for c in (cut, cut + 2)]
-    return np.column_stack([np.ones(len(histograms)), *(f for h in hits for f in (np.log1p(h), 10 * h / total))])
+def features(histograms: np.ndarray, cut: int, rates: tuple[float, float]) -> np.ndarray:
+    """Per text: 1, and for windows that save `cut` bytes and two bytes more, by how much their number exceeds what the rate of
+    ordinary text gives at this length (in standard deviations, on a logarithmic scale), and their share."""
+    total = histograms.sum(axis=1)
+    out = [np.ones(len(histograms))]
+    for c, rate in zip((cut, cut + 2), rates, strict=True):
+        hits = histograms[:, c:].sum(axis=1)
+        excess = (hits - rate * total) / np.sqrt(rate * total + 1)
+        out += [np.sign(excess) * np.log1p(np.abs(excess)), 10 * hits / np.maximum(1, total)]
+    return np.column_stack(out)
+
+
+def ordinary_rates(histograms: np.ndarray, cut: int) -> tuple[float, float]:
+    """Shares of the windows of ordinary texts that save `cut` bytes and two bytes more."""
+    first, second = (float(histograms[:, c:].sum() / max(1, histograms.sum())) for c in (cut, cut + 2))
+    return first, second
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -187,9 +199,13 @@ def fit(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
             counts.append(half.histograms(texts))
             marks.append(np.full(len(texts), kind))
     seen, y = np.concatenate(counts), np.concatenate(marks)
-    tried = [(loss, cut, weights) for cut in range(1, 9) for weights, loss in [calibrate(features(seen, cut), y)]]
-    _, cut, weights = min(tried, key=lambda t: t[:2])
-    return Model(*train_dictionaries(toxic, ordinary), cut, tuple(map(float, weights)))
+    tried = []
+    for cut in range(1, 9):
+        rates = ordinary_rates(seen[y == 0], cut)
+        weights, loss = calibrate(features(seen, cut, rates), y)
+        tried.append((loss, cut, tuple(map(float, weights)), rates))
+    _, cut, weights, rates = min(tried)
+    return Model(*train_dictionaries(toxic, ordinary), cut, weights, rates)
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -208,11 +224,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.fillna({"text": ""}).sort_values(["doc_id", "toxic", "text"])
         model = fit(*([bare_words(t) for t in rows.loc[rows["toxic"] == y, "text"]] for y in (1, 0)))
-        return pd.DataFrame({"plain": [model.plain], "toxic": [model.toxic], "cut": [model.cut], "weights": [list(model.weights)]})
+        return pd.DataFrame({"plain": [model.plain], "toxic": [model.toxic], "cut": [model.cut], "weights": [list(model.weights)], "rates": [list(model.rates)]})
 
     # The driver gets the model only.
-    learned = rows.groupBy(F.col("toxic").isNull().alias("all")).applyInPandas(learn, "plain binary, toxic binary, cut int, weights array<double>").first()
-    return Model(bytes(learned.plain), bytes(learned.toxic), learned.cut, tuple(learned.weights)) if learned else fit([], [])
+    learned = rows.groupBy(F.col("toxic").isNull().alias("all")).applyInPandas(learn, "plain binary, toxic binary, cut int, weights array<double>, rates array<double>").first()
+    return Model(bytes(learned.plain), bytes(learned.toxic), learned.cut, tuple(learned.weights), tuple(learned.rates)) if learned else fit([], [])
 
 
 def score_toxicity(
