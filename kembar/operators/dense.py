@@ -26,7 +26,9 @@ QUERY_BLOCK = 4096
 QUERY_BYTES = 64 << 20
 #: Sections or categories up to which a filter on points names them.
 ASKED = 1000
-CELLS = 4_000_000
+CELLS = 1_000_000
+#: Rows of a batch that are scored at once.
+BATCH_ROWS = 2048
 #: Centres of an index, at most; rings are this wide, in radians.
 CENTRES = 1024
 RING = 0.05
@@ -169,8 +171,8 @@ def _scan(queries: _Queries, k, bound, strict, centres=None, kth=None):
     def run(batches):
         best = None
         pruning = None if centres is None else _pruning(queries, centres, bound, kth)
-        for batch in batches:
-            parts = _score(batch, queries, k, bound, strict, pruning) if batch.num_rows else []
+        for batch in (batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS)):
+            parts = _score(batch, queries, k, bound, strict, pruning)
             if k is None:
                 for part in parts:
                     yield pa.RecordBatch.from_pydict(_hits(part, queries))
