@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,12 @@ def bare_words(text: str | None) -> list[bytes]:
     return words
 
 
+def shared_words(texts: Iterable[str | None]) -> list[list[bytes]]:
+    """`bare_words` of each text, where equal words are one object: of many texts, most words are equal."""
+    pool: dict[bytes, bytes] = {}
+    return [[pool.setdefault(w, w) for w in bare_words(text)] for text in texts]
+
+
 def windows(words: list[bytes]) -> list[bytes]:
     """All windows of a text; the last one may be shorter, none is part of the one before it."""
     starts = range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE) if words else ()
@@ -223,7 +230,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.fillna({"text": ""}).sort_values(["doc_id", "toxic", "text"])
-        model = fit(*([bare_words(t) for t in rows.loc[rows["toxic"] == y, "text"]] for y in (1, 0)))
+        model = fit(*(shared_words(rows.loc[rows["toxic"] == y, "text"]) for y in (1, 0)))
         return pd.DataFrame({"plain": [model.plain], "toxic": [model.toxic], "cut": [model.cut], "weights": [list(model.weights)], "rates": [list(model.rates)]})
 
     # The driver gets the model only.
