@@ -84,6 +84,9 @@ class Fragments:
         whole = np.uint64(buckets)
         return (self.seed // whole & np.uint64(0xFFFFFFFF)) * whole + self.seed % whole
 
+    def part(self, first: int, last: int) -> Fragments:
+        return Fragments(*(x[first:last] for x in (self.start, self.count, self.seed, self.content, self.left, self.right)))
+
     def key(self, buckets: int) -> np.ndarray:
         return fragment_key(self.cut_seed(buckets), self.content >> np.uint64(16))
 
@@ -211,8 +214,14 @@ class RunLengthIndex:
         """For each row of bytes, the least owner of a string that holds them, by backward search.
 
         All patterns go one byte to the left at a time. A match that one row is left of cannot shrink further for a
-        pattern that is in the index, so it is settled there.
+        pattern that is in the index, so it is settled there. Patterns of like ends go side by side, since they need the
+        same parts of the index.
         """
+        end = np.zeros(len(patterns), np.uint64)
+        for k in range(min(8, patterns.shape[1])):
+            end = end << np.uint64(8) | patterns[:, -1 - k]
+        order = np.argsort(end)
+        patterns = patterns[order]
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size, np.int64)
         live = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 1, -1, -1):
@@ -222,7 +231,9 @@ class RunLengthIndex:
             live = live[high[live] - low[live] > 1]
             if not len(live):
                 break
-        return self._least_between(low, np.maximum(high, low + 1))
+        out = np.empty(len(patterns), self.rows.dtype)
+        out[order] = self._least_between(low, np.maximum(high, low + 1))
+        return out
 
     def _least_between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         first, last = np.searchsorted(self.begins, low, side="right") - 1, np.searchsorted(self.begins, high - 1, side="right") - 1
@@ -422,7 +433,7 @@ def compare_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     document holds.
 
     A window whose hash stands in one document only is in no other. The fragments with other windows make a run-length
-    index, in which these windows are searched.
+    index, in which these windows are searched: one of each hash, and those that differ from it byte by byte.
     """
     rows = rows.drop_duplicates(["doc", "key"]).sort_values("doc")
     docs, texts = rows["doc"].to_numpy(np.int64), rows["body"].tolist()
@@ -438,13 +449,27 @@ def compare_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     least, most = np.minimum.reduceat(of_doc, heads), np.maximum.reduceat(of_doc, heads)
     many = np.empty(len(hashes), bool)
     many[order] = np.repeat(least != most, np.diff(np.r_[heads, len(hashes)]))
+    del of_doc
     earlier = np.zeros(len(hashes), bool)
     if many.any():
         held = np.unique(owner[many])
         index = RunLengthIndex([texts[i] for i in held.tolist()], docs[held])
-        asked, windows = np.flatnonzero(many), np.lib.stride_tricks.sliding_window_view(whole, WINDOW)
+        windows = np.lib.stride_tricks.sliding_window_view(whole, WINDOW)
+
+        def least_owner(asked: np.ndarray) -> np.ndarray:
+            return np.concatenate([index.least_owners(windows[starts[part]]) for part in np.array_split(asked, len(asked) // 500_000 + 1)])
+
+        group = np.empty(len(hashes), np.int32 if len(heads) < 1 << 31 else np.int64)
+        group[order] = np.repeat(np.arange(len(heads), dtype=group.dtype), np.diff(np.r_[heads, len(hashes)]))
+        searched = np.flatnonzero(least != most)
+        of_group = np.empty(len(heads), np.int64)
+        of_group[searched] = least_owner(order[heads[searched]])
+        asked = np.flatnonzero(many)
         for part in np.array_split(asked, len(asked) // 500_000 + 1):
-            earlier[part] = index.least_owners(windows[starts[part]]) < docs[owner[part]]
+            earlier[part] = of_group[group[part]] < docs[owner[part]]
+            other = part[(windows[starts[part]] != windows[starts[order[heads[group[part]]]]]).any(axis=1)]
+            if len(other):
+                earlier[other] = least_owner(other) < docs[owner[other]]
     first = np.cumsum(counts) - counts
     bits = np.where(earlier, np.int64(1) << (np.arange(len(earlier)) - np.repeat(first, counts)), 0)
     masks = np.add.reduceat(bits, first)
@@ -516,16 +541,19 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     has = F.col("gone").isNotNull() | F.col("masks").isNotNull()
 
     def strip(batch: pa.RecordBatch) -> dict:
-        out = []
-        for body, gone, masks in zip(*(batch.column(n) for n in ("body", "gone", "masks")), strict=True):
-            data = body_bytes(body.as_py())
-            gone, masks = gone.as_py(), {m["key"] % 2**64: m["mask"] for m in masks.as_py() or ()}
-            if not gone and not masks:
-                out.append((len(data), 0, 0, data))
-                continue
-            covered = covered_bytes(len(data), fragments(data, sent.value), buckets, gone, masks)
-            edges = np.diff(np.r_[False, covered].astype(np.int8)) > 0
-            out.append((len(data), int(covered.sum()), int(edges.sum()), np.frombuffer(data, np.uint8)[~covered].tobytes()))
+        bodies, gone, masks = (batch.column(n) for n in ("body", "gone", "masks"))
+        hit = [i for i in range(batch.num_rows) if gone[i].is_valid or masks[i].is_valid]
+        out, done = [None] * batch.num_rows, 0
+        for i in set(range(batch.num_rows)).difference(hit):
+            data = body_bytes(bodies[i].as_py())
+            out[i] = (len(data), 0, 0, data)
+        for texts, text, f in fragments_of((body_bytes(bodies[i].as_py()) for i in hit), sent.value):
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            for i, data, first, last in zip(hit[done:done + len(texts)], texts, cuts[:-1], cuts[1:], strict=True):
+                covered = covered_bytes(len(data), f.part(first, last), buckets, gone[i].as_py(), {m["key"] % 2**64: m["mask"] for m in masks[i].as_py() or ()})
+                edges = np.diff(np.r_[False, covered].astype(np.int8)) > 0
+                out[i] = (len(data), int(covered.sum()), int(edges.sum()), np.frombuffer(data, np.uint8)[~covered].tobytes())
+            done += len(texts)
         columns = list(zip(*out, strict=True)) or [()] * 4
         kinds = dict(n_bytes=pa.int64(), n_removed=pa.int64(), n_spans=pa.int64(), kept=pa.binary())
         return {"doc": batch.column("doc")} | {n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)}

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,5 +67,21 @@ def test_index_finds_the_least_owner():
     assert got.tolist() == [min(o for s, o in zip(strings, owners.tolist(), strict=True) if w in s) for w in windows]
 
 
+def test_each_window_is_searched_once(monkeypatch):
+    """Equal windows of many documents are one pattern; windows that share a hash but no bytes are told apart."""
+    pick, searched = random.Random(5), []
+    bodies = ["".join(pick.choices("abc ", k=70)).encode() for _ in range(6)]
+    rows = pd.DataFrame([(d, d * 10 + k, bodies[(d + k) % 6]) for d in range(30) for k in range(3)], columns=["doc", "key", "body"])
+    plain = rp.RunLengthIndex.least_owners
+    monkeypatch.setattr(rp.RunLengthIndex, "least_owners", lambda self, patterns: searched.append(len(patterns)) or plain(self, patterns))
+    first = {b: rows[rows["body"] == b]["doc"].min() for b in bodies}
+    wanted = {(d, k): (1 << 21) - 1 for d, k, b in rows.itertuples(index=False) if first[b] < d}
+    found = lambda: {(d, k): m for d, k, m in rp.compare_bucket(rows).itertuples(index=False)}
+    assert found() == wanted and sum(searched) == 6 * 21
+    hashed = rp.substring_hashes
+    monkeypatch.setattr(rp, "substring_hashes", lambda data, lengths: [h % np.uint64(5) for h in hashed(data, lengths)])
+    assert found() == wanted
+
+
 def test_empty_table(spark):
     assert rp.repeated_bytes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
