@@ -49,7 +49,7 @@ def test_no_pair_of_query_and_document_is_a_key(spark, index):
 
 
 def test_default_search_multiplies_all_where_that_costs_less(spark, index, monkeypatch):
-    """Measured on 0.10 GB: an early stop took over four times the task seconds, and both grow in proportion to the input."""
+    """Measured on 0.10 GB: an early stop took over four times the task seconds."""
     monkeypatch.setattr(tfidf, "_chosen", None)
     weights = tfidf.transform(index, asked(spark, "bigint"), False, False).withColumn("df", F.lit(10**8))
     assert tfidf.scores_from(index, weights, 0.1, 5).count() > 0
