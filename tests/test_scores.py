@@ -1,4 +1,5 @@
 import itertools
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -129,3 +130,34 @@ def test_lexical_metrics(spark):
     plain = p.lexical_metrics(df, "a", "b", academic=False).first().lexical
     assert (plain.jaccard, plain.word_overlap) == (round(4 / 6, 4), 0.8)
     assert plain.sequence == round(SequenceMatcher(None, "data yang besar penelitian ini", "data besar dan penelitian ini").ratio(), 4)
+
+
+def test_matching_blocks_equal_difflib():
+    """Before, every character of a long text was passed for each block found, and word sets were made twice for two scores."""
+    pick, letters = random.Random(3), "abcdefghij klmnop]^-\\[é𝄞\nxyz0123456789"
+
+    def text(n):
+        return "".join(pick.choices(letters, weights, k=n))
+
+    for _ in range(300):
+        weights = [pick.choice([1, 1, 5, 40, 200]) for _ in letters]
+        a = text(pick.choice([1, 50, 300, 900]))
+        edited = list(a)
+        for _ in range(pick.randint(0, 12)):
+            at = pick.randrange(len(edited) + 1)
+            edited[at:at + pick.randint(0, 20)] = text(pick.randint(0, 15))
+        b = "".join(edited) + text(pick.choice([1, 199, 200, 201, 900]))
+        assert p.matching_blocks_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+    assert p.matching_blocks_ratio("ab" * 150, "ab" * 150) == SequenceMatcher(None, "ab" * 150, "ab" * 150).ratio()
+
+
+def test_long_texts_pass_rare_characters_only(monkeypatch):
+    read = []
+    monkeypatch.setattr(p, "SequenceMatcher", lambda *a: read.append(a))
+    words = [f"{'ab' * 9}{i} " for i in range(400)]
+    assert p.matching_blocks_ratio("".join(words), "".join(words[::-1])) > 0 and not read
+
+
+def test_lexical_metrics_make_each_set_once(spark):
+    plan = p.lexical_metrics(spark.createDataFrame([("x y", "y z")], "a string, b string"), "a", "b").select("lexical.jaccard", "lexical.word_overlap")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 2
